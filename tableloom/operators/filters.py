@@ -15,15 +15,23 @@ def where_equal(df: DataFrame, **values: object) -> DataFrame:
     return df
 
 
-def where_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+def where_in(df: DataFrame, column: str, keys: DataFrame, *, unique: bool = False) -> DataFrame:
     """Rows whose ``column`` occurs in the single column of ``keys``.
 
     Planned as a left semi join: each row at most once, however often its key is
-    listed. Catalyst broadcasts ``keys`` when their measured size is below the
-    session's threshold and shuffles both sides otherwise. In the shuffled form a
-    very frequent value is cut into several tasks by adaptive skew-join handling,
-    which needs both shuffles right under the join; so nothing is put between.
+    listed. Catalyst broadcasts ``keys`` when their size is below the session's
+    threshold and shuffles both sides otherwise. Then neither side's frequent
+    values pile up in one task:
+
+    - keys are made distinct, each task dropping its own repeats before the
+      shuffle; say ``unique`` for a key column that has none, to skip this;
+    - a frequent value of ``column`` is cut into several tasks by adaptive
+      skew-join handling. It needs both shuffles right under the join, so the keys
+      are made distinct under a second, different partitioning.
     """
+    if not unique:
+        key = F.col(f"`{keys.columns[0]}`")
+        keys = keys.select(key, F.xxhash64(key).alias("__hash")).distinct().select(key)
     return df.where(F.col(column).isin(keys))
 
 

@@ -1,8 +1,4 @@
-"""Job: pick columns out of JSON lines and write them as CSV with a header.
-
-Run as ``spark-submit -m``-style module or call ``run``; the master comes from the
-launcher.
-"""
+"""Job: pick columns out of JSON lines and write them as CSV with a header."""
 
 from __future__ import annotations
 
@@ -12,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from tableloom.session import open_session
+from tableloom.session import file_count, open_session
 from tableloom.sinks import write_csv
 from tableloom.sources import read_json
 
@@ -29,16 +25,18 @@ def run(
     columns: Sequence[str],
     *,
     schema: StructType | str | None = None,
-    num_files: int | None = 5,
+    num_files: int | None = None,
     mode: str = "overwrite",
 ) -> None:
     """Read ``source``, keep ``columns``, write ``num_files`` files to ``target``.
 
-    Five files suit small inputs. On large ones give a number that makes each file
-    a few hundred megabytes, or None to skip the shuffle and write one per task.
+    Left out, the number is five, and more for an input of more than five times 256
+    MB; 0 skips the shuffle and writes one file per task.
     """
+    if num_files is None:
+        num_files = file_count(spark, source)
     picked = pick(read_json(spark, source, schema=schema), columns)
-    write_csv(picked, target, header=True, mode=mode, num_files=num_files)
+    write_csv(picked, target, header=True, mode=mode, num_files=num_files or None)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -47,7 +45,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("target")
     parser.add_argument("--columns", nargs="+", required=True)
     parser.add_argument("--schema", help="DDL of the fields to read; saves a pass over the input")
-    parser.add_argument("--files", type=int, default=5, help="0 writes one file per task")
+    parser.add_argument("--files", type=int, help="left out: by input size; 0: one per task")
     args = parser.parse_args(argv)
     run(
         open_session("json to csv"),
@@ -55,7 +53,7 @@ def main(argv: Sequence[str] | None = None) -> None:
         args.target,
         args.columns,
         schema=args.schema,
-        num_files=args.files or None,
+        num_files=args.files,
     )
 
 

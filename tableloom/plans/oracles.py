@@ -116,6 +116,10 @@ ORACLES: dict[str, str] = {
     "in_subquery": f"SELECT * FROM customer WHERE c_nationkey IN ({_NATIONS_OF_REGION})",
     "nested_in_subquery": f"SELECT * FROM orders WHERE o_custkey IN ({_CUSTOMERS_OF_REGION})",
     "deep_in_subquery": f"SELECT * FROM lineitem WHERE l_orderkey IN ({_ORDERS_OF_REGION})",
+    "in_subquery_repeated_keys": """
+        SELECT * FROM part
+        WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')
+    """,
     "scalar_subquery_filter": """
         SELECT * FROM customer
         WHERE c_nationkey = (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_3')

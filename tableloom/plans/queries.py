@@ -46,9 +46,10 @@ from tableloom.plans import json_to_csv, word_count
 from tableloom.plans.phases import enlarge_and_derive
 from tableloom.plans.staging import (
     NESTED_EVENTS,
-    RECORDS_PER_FILE,
+    ROWS_PER_FILE,
+    TEXTS_PER_FILE,
     csv_copy,
-    file_count,
+    dealt_table,
     json_copy,
     nested_events,
     new_database,
@@ -56,7 +57,7 @@ from tableloom.plans.staging import (
     table,
     table_path,
 )
-from tableloom.session import new_scratch
+from tableloom.session import file_count, new_scratch
 from tableloom.sinks import insert_frame, insert_rows, write_csv
 from tableloom.sources import integer_range, read_csv, read_json, read_lines, rows_to_frame
 
@@ -130,9 +131,11 @@ def rename_by_position(spark, folder):
 
 @query("nested_json_fields")
 def nested_json_fields(spark, folder):
-    register = read_json(spark, nested_events(spark, folder), schema=NESTED_EVENTS)
+    # Only what the schema names is parsed, also within the struct.
+    schema = "recordid string, fields struct<id: bigint, premise_name: string>"
+    register = read_json(spark, nested_events(spark, folder), schema=schema)
     lifted = nested_fields("fields", {"datasetId": "id", "name": "premise_name"})
-    return conform(register, derive=lifted, drop=["fields", "record_timestamp"])
+    return conform(register, derive=lifted, drop=["fields"])
 
 
 @query("midpoint_and_copies")
@@ -190,7 +193,7 @@ def array_items(spark, folder):
 @query("split_words")
 def split_into_words(spark, folder):
     words = split_words("text")
-    return table(spark, folder, "documents").select(
+    return dealt_table(spark, folder, "documents").select(
         "doc_id", F.size(words).alias("n_words"), F.array_join(words, "|").alias("words")
     )
 
@@ -198,7 +201,7 @@ def split_into_words(spark, folder):
 @query("strip_whitespace")
 def strip_whitespace(spark, folder):
     sentence = F.concat(F.lit("\t \n"), split_item("text", ".", 1), F.lit(" \r\n "))
-    return table(spark, folder, "documents").select(
+    return dealt_table(spark, folder, "documents").select(
         "doc_id", strip_blanks(sentence).alias("sentence"), strip_blanks("text").alias("text")
     )
 
@@ -226,7 +229,9 @@ def replace_value(spark, folder):
 @query("in_subquery")
 def in_subquery(spark, folder):
     nations = where_equal(table(spark, folder, "nation"), n_regionkey=1)
-    return where_in(table(spark, folder, "customer"), "c_nationkey", nations.select("n_nationkey"))
+    return where_in(
+        table(spark, folder, "customer"), "c_nationkey", nations.select("n_nationkey"), unique=True
+    )
 
 
 @query("nested_in_subquery")
@@ -235,7 +240,9 @@ def nested_in_subquery(spark, folder):
     customers = where_in(
         table(spark, folder, "customer"), "c_nationkey", nations.select("n_nationkey")
     )
-    return where_in(table(spark, folder, "orders"), "o_custkey", customers.select("c_custkey"))
+    return where_in(
+        table(spark, folder, "orders"), "o_custkey", customers.select("c_custkey"), unique=True
+    )
 
 
 @query("deep_in_subquery")
@@ -244,8 +251,18 @@ def deep_in_subquery(spark, folder):
     customers = where_in(
         table(spark, folder, "customer"), "c_nationkey", nations.select("n_nationkey")
     )
-    orders = where_in(table(spark, folder, "orders"), "o_custkey", customers.select("c_custkey"))
-    return where_in(table(spark, folder, "lineitem"), "l_orderkey", orders.select("o_orderkey"))
+    orders = where_in(
+        table(spark, folder, "orders"), "o_custkey", customers.select("c_custkey"), unique=True
+    )
+    return where_in(
+        table(spark, folder, "lineitem"), "l_orderkey", orders.select("o_orderkey"), unique=True
+    )
+
+
+@query("in_subquery_repeated_keys")
+def in_subquery_repeated_keys(spark, folder):
+    returned = where_equal(table(spark, folder, "lineitem"), l_returnflag="R")
+    return where_in(table(spark, folder, "part"), "p_partkey", returned.select("l_partkey"))
 
 
 @query("scalar_subquery_filter")
@@ -275,7 +292,7 @@ def count_rows(spark, folder):
 
 @query("word_count")
 def count_words(spark, folder):
-    return word_counts(table(spark, folder, "documents"), "text")
+    return word_counts(dealt_table(spark, folder, "documents"), "text")
 
 
 @query("limit_rows")
@@ -392,19 +409,17 @@ def csv_sink_noheader(spark, folder):
 
 @query("csv_lossless_texts")
 def csv_lossless_texts(spark, folder):
-    documents = table(spark, folder, "documents")
+    documents = dealt_table(spark, folder, "documents")
     path = new_scratch(spark, "csv-lossless-texts")
-    write_csv(documents, path, lossless=True, max_records_per_file=RECORDS_PER_FILE)
+    write_csv(documents, path, lossless=True, max_records_per_file=TEXTS_PER_FILE)
     return read_csv(spark, path, schema=documents.schema, lossless=True)
 
 
 @query("csv_lossless_timestamps")
 def csv_lossless_timestamps(spark, folder):
-    events = table(spark, folder, "events")
+    events = dealt_table(spark, folder, "events")
     path = new_scratch(spark, "csv-lossless-events")
-    write_csv(
-        events, path, header=True, lossless=True, max_records_per_file=RECORDS_PER_FILE
-    )
+    write_csv(events, path, header=True, lossless=True, max_records_per_file=ROWS_PER_FILE)
     return read_csv(spark, path, header=True, schema=events.schema, lossless=True)
 
 
@@ -427,14 +442,7 @@ def json_project_csv(spark, folder):
     source = json_copy(spark, folder, "documents")
     target = new_scratch(spark, "json-to-csv")
     schema = "doc_id bigint, lang string"
-    json_to_csv.run(
-        spark,
-        source,
-        target,
-        ["doc_id", "lang"],
-        schema=schema,
-        num_files=file_count(spark, source),
-    )
+    json_to_csv.run(spark, source, target, ["doc_id", "lang"], schema=schema)
     return read_csv(spark, target, header=True, schema=schema)
 
 
@@ -444,7 +452,7 @@ def word_count_files(spark, folder):
         spark,
         folder,
         "documents-text",
-        lambda path: table(spark, folder, "documents").select("text").write.text(path),
+        lambda path: dealt_table(spark, folder, "documents").select("text").write.text(path),
     )
     target = new_scratch(spark, "word-count")
     word_count.run(spark, source, target)

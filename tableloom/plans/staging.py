@@ -6,18 +6,22 @@ once per session.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableloom import catalog
+from tableloom.operators import spread
 from tableloom.session import input_bytes, new_scratch
 from tableloom.sinks import write_csv, write_json
 
-FILE_BYTES = 256 * 1024 * 1024
-RECORDS_PER_FILE = 1_000_000
+# Files with line breaks inside values are read by one task each: keep them moderate.
+TEXTS_PER_FILE = 100_000
+ROWS_PER_FILE = 2_000_000
+
+# Below this much input per core a table may sit in fewer pieces than there are cores.
+SMALL_BYTES_PER_CORE = 128 * 1024 * 1024
 
 _written: dict[tuple[str, str, str], str] = {}
 
@@ -31,14 +35,19 @@ def table_path(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}.parquet"
 
 
-def file_count(spark: SparkSession, path: str, at_least: int = 5) -> int:
-    """Tasks or files to deal an input out to: ``at_least``, more where it is large."""
-    return max(at_least, math.ceil(input_bytes(spark, path) / FILE_BYTES))
+def dealt_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table for work that is heavy per row.
+
+    A small one, which a few tasks would read, is dealt out to all cores first; a
+    large one comes in enough pieces by itself and is not shuffled.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    small = input_bytes(spark, table_path(folder, name)) < cores * SMALL_BYTES_PER_CORE
+    df = table(spark, folder, name)
+    return spread(df, cores) if small else df
 
 
-def staged(
-    spark: SparkSession, folder: str, label: str, write: Callable[[str], None]
-) -> str:
+def staged(spark: SparkSession, folder: str, label: str, write: Callable[[str], None]) -> str:
     """Path of a copy, written by ``write(path)`` on first use in this session."""
     key = (spark.sparkContext.applicationId, folder, label)
     if key not in _written:
@@ -72,7 +81,7 @@ def json_copy(spark: SparkSession, folder: str, name: str) -> str:
         spark,
         folder,
         f"{name}-json",
-        lambda path: write_json(table(spark, folder, name), path),
+        lambda path: write_json(dealt_table(spark, folder, name), path),
     )
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import SparkSession
 
 from tableloom.operators import word_counts
-from tableloom.session import open_session
+from tableloom.session import open_session, size_shuffles
 from tableloom.sinks import write_tab_separated
 from tableloom.sources import read_lines
 
@@ -23,7 +23,9 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("source")
     parser.add_argument("target")
     args = parser.parse_args(argv)
-    run(open_session("word count"), args.source, args.target)
+    spark = open_session("word count")
+    size_shuffles(spark, args.source)
+    run(spark, args.source, args.target)
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -53,3 +54,21 @@ def input_bytes(spark: SparkSession, path: str) -> int:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     filesystem = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     return filesystem.getContentSummary(hadoop_path).getLength()
+
+
+def file_count(
+    spark: SparkSession, path: str, at_least: int = 5, bytes_each: int = 256 * 1024 * 1024
+) -> int:
+    """Tasks or files to deal an input out to: ``at_least``, more where it is large."""
+    return max(at_least, math.ceil(input_bytes(spark, path) / bytes_each))
+
+
+def size_shuffles(spark: SparkSession, path: str, bytes_each: int = 128 * 1024 * 1024) -> int:
+    """Enough shuffle partitions that each holds about ``bytes_each`` of the input at ``path``.
+
+    Never fewer than the session already has; adaptive execution joins small ones.
+    """
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    count = file_count(spark, path, configured, bytes_each)
+    spark.conf.set("spark.sql.shuffle.partitions", str(count))
+    return count

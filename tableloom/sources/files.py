@@ -8,11 +8,14 @@ from pyspark.sql.types import StructType
 # Plain CSV loses data on a write/read round trip: outer blanks are trimmed, NULL
 # and "" become the same, line breaks inside a value start a new record and
 # timestamps keep milliseconds only. With these settings on BOTH sides, and the
-# same schema on the read, every scalar value comes back unchanged.
+# same schema on the read, every scalar value comes back unchanged. The line end has
+# to be named, or the reader guesses it from the first break it meets, which may be
+# one inside a value.
 CSV_LOSSLESS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
     "multiLine": "true",
+    "lineSep": "\n",
     "escape": '"',
     "nullValue": "\u0001",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
@@ -55,8 +58,9 @@ def read_json(
 ) -> DataFrame:
     """Read JSON lines.
 
-    A declared schema reads only the named fields in one pass. Without one Spark
-    scans everything first and widens numbers to bigint and double.
+    A declared schema reads in one pass and parses only the fields it names; within
+    a struct nothing else prunes them. Without a schema Spark scans everything
+    first and widens numbers to bigint and double.
     """
     reader = spark.read.options(**options)
     if schema is not None:

@@ -1,0 +1,114 @@
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tableloom.functions import (
+    BLANKS,
+    composite_id,
+    item,
+    join_text,
+    nested_fields,
+    split_item,
+    split_words,
+    strip_blanks,
+    tokens,
+)
+from tableloom.sources import rows_to_frame
+
+
+def one(spark, column, **values):
+    """The column's value on a single row of string values."""
+    frame = rows_to_frame(
+        spark, [tuple(values.values())], ", ".join(f"{name} string" for name in values)
+    )
+    return frame.select(column).first()[0]
+
+
+def test_join_text_is_null_when_a_part_is_null(spark):
+    assert one(spark, join_text("a", "b", sep=", "), a="Ng", b="Ann") == "Ng, Ann"
+    assert one(spark, join_text("a", "b", sep=", "), a="Ng", b=None) is None
+    assert one(spark, join_text("a", "b", sep=", "), a="", b="") == ", "
+
+
+def test_composite_id(spark):
+    assert one(spark, composite_id("s", F.lit("Wake"), "n"), s="NC", n="7") == "NC_Wake_7"
+
+
+@pytest.mark.parametrize(
+    "value, position, expected",
+    [
+        ("1 - Cafe", 1, "Cafe"),
+        ("1 - Cafe - Bar", 1, "Cafe"),
+        ("1 - Cafe - Bar", 2, "Bar"),
+        ("Cafe", 1, None),
+        ("Cafe", 0, "Cafe"),
+        ("", 0, ""),
+        (" - ", 1, ""),
+        (None, 1, None),
+    ],
+)
+def test_split_item(spark, value, position, expected):
+    assert one(spark, split_item("v", " - ", position), v=value) == expected
+
+
+def test_split_item_takes_the_separator_literally(spark):
+    assert one(spark, split_item("v", ".", 1), v="a.b") == "b"
+    assert one(spark, split_item("v", "||", 1), v="a||b") == "b"
+
+
+def test_array_item(spark):
+    frame = spark.sql("SELECT array(1.5D, 2.5D) AS a, cast(NULL AS array<double>) AS b")
+    assert frame.select(item("a", 0), item("a", 1), item("a", 2), item("b", 0)).first()[:] == (
+        1.5,
+        2.5,
+        None,
+        None,
+    )
+
+
+def test_nested_fields(spark):
+    frame = spark.sql("SELECT named_struct('id', 3, 'premise', 'Inn') AS fields")
+    lifted = frame.withColumns(nested_fields("fields", {"key": "id", "name": "premise"}))
+    assert lifted.select("key", "name").first()[:] == (3, "Inn")
+
+
+# Each database row goes through Spark once, so keep the number of calls small.
+texts = st.text(
+    alphabet=st.sampled_from(list(BLANKS) + list("ab.é|") + ["​"]), max_size=12
+)
+batches = settings(
+    max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+
+
+@batches
+@given(values=st.lists(texts, min_size=1, max_size=40))
+def test_strings_behave_like_python(spark, values):
+    frame = rows_to_frame(spark, list(enumerate(values)), "i int, v string")
+    rows = frame.orderBy("i").select(
+        strip_blanks("v").alias("strip"), split_words("v").alias("words")
+    )
+    for value, row in zip(values, rows.collect()):
+        assert row.strip == value.strip()
+        assert row.words == value.split(" ")
+
+
+@batches
+@given(
+    values=st.lists(
+        st.text(alphabet=st.sampled_from(list("aAb \t\n\r\f\x0b\xa0")), max_size=20),
+        min_size=1,
+        max_size=40,
+    )
+)
+def test_tokens(spark, values):
+    frame = rows_to_frame(spark, list(enumerate(values)), "i int, v string")
+    for value, row in zip(values, frame.orderBy("i").select(tokens("v")).collect()):
+        spaced = value.translate(str.maketrans("\t\n\r\f", "    "))
+        assert row[0] == [word for word in spaced.split(" ") if word]
+
+
+def test_null_text(spark):
+    for function in (strip_blanks, split_words, tokens):
+        assert one(spark, function("v"), v=None) is None

@@ -1,0 +1,231 @@
+import collections
+import json
+
+import pytest
+from pyspark.errors import AnalysisException, ArithmeticException, NumberFormatException
+from pyspark.errors.exceptions.base import PySparkException
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from tableloom.operators import (
+    conform,
+    first_rows,
+    midpoint_and_copies,
+    partition_count,
+    partition_sizes,
+    preview,
+    preview_pandas,
+    rename_positional,
+    replace_values,
+    replicate,
+    row_count,
+    schema_json,
+    schema_rows,
+    spread,
+    union_by_name,
+    union_rows,
+    where_equal,
+    where_in,
+    where_scalar,
+    word_counts,
+)
+from tableloom.sources import rows_to_frame
+
+
+def rows(df):
+    return sorted((tuple(row) for row in df.collect()), key=repr)
+
+
+@pytest.fixture
+def places(spark):
+    return rows_to_frame(
+        spark,
+        [(1, "Inn", "27601", 4.0), (2, None, "x", None), (2, None, "x", None)],
+        "KEY int, NAME string, ZIP string, SCORE double",
+    )
+
+
+def test_conform_renames_adds_derives_and_drops(places):
+    result = conform(
+        places,
+        rename={"KEY": "id", "ABSENT": "other"},
+        constants={"county": "Wake"},
+        derive={"label": F.concat("county", F.lit("_"), "id")},
+        drop=["SCORE", "ABSENT"],
+    )
+    assert result.columns == ["id", "NAME", "ZIP", "county", "label"]
+    assert rows(result)[0] == (1, "Inn", "27601", "Wake", "Wake_1")
+
+
+def test_conform_to_target_orders_casts_and_fills(places):
+    target = StructType([StructField("closed", StringType()), StructField("KEY", StringType())])
+    result = conform(places, target=target)
+    assert [(f.name, f.dataType) for f in result.schema] == [
+        ("closed", StringType()),
+        ("KEY", StringType()),
+    ]
+    assert rows(result) == [(None, "1"), (None, "2"), (None, "2")]
+
+
+def test_conform_does_not_hide_values_that_cannot_be_cast(places):
+    target = StructType([StructField("ZIP", IntegerType())])
+    with pytest.raises(NumberFormatException):
+        conform(places, target=target).collect()
+    lenient = conform(places, derive={"ZIP": F.col("ZIP").try_cast("int")}, target=target)
+    assert rows(lenient) == [(27601,), (None,), (None,)]
+
+
+def test_rename_positional(places):
+    assert rename_positional(places, ["a", "b", "c", "d"]).columns == ["a", "b", "c", "d"]
+    with pytest.raises((PySparkException, ValueError)):
+        rename_positional(places, ["a"]).collect()
+
+
+def test_midpoint_modes(spark):
+    limits = rows_to_frame(spark, [(1, 2), (None, 4)], "lcl int, ucl int")
+    derived = midpoint_and_copies(limits, "lcl", "ucl")
+    assert derived.columns == ["lcl", "ucl", "avg", "lcl2", "ucl2"]
+    assert rows(derived) == [(1, 2, 1.5, 1, 2), (None, 4, None, None, 4)]
+    assert midpoint_and_copies(limits, "lcl", "ucl", "NOOP").columns == ["lcl", "ucl"]
+    assert rows(midpoint_and_copies(limits, "lcl", "ucl", "Full")) == rows(limits)
+    with pytest.raises(ValueError):
+        midpoint_and_copies(limits, "lcl", "ucl", "half")
+
+
+def test_midpoint_overflow_is_an_error_not_a_wrong_value(spark):
+    limits = rows_to_frame(spark, [(2**31 - 1, 1)], "lcl int, ucl int")
+    with pytest.raises(ArithmeticException):
+        midpoint_and_copies(limits, "lcl", "ucl").collect()
+
+
+def test_union_by_name_keeps_duplicates_and_matches_names(spark):
+    left = rows_to_frame(spark, [(1, "a"), (1, "a")], "n int, s string")
+    right = rows_to_frame(spark, [("a", 1)], "s string, n int")
+    assert rows(union_by_name(left, right)) == [(1, "a")] * 3
+
+
+def test_union_by_name_with_a_missing_column(spark):
+    left = rows_to_frame(spark, [(1, "a")], "n int, s string")
+    right = rows_to_frame(spark, [(2,)], "n int")
+    with pytest.raises(AnalysisException):
+        union_by_name(left, right)
+    assert rows(union_by_name(left, right, allow_missing=True)) == [(1, "a"), (2, None)]
+
+
+def test_union_rows_matches_positions(spark):
+    left = rows_to_frame(spark, [(1, 2)], "a int, b int")
+    right = rows_to_frame(spark, [(3, 4)], "b int, a int")
+    assert rows(union_rows(left, right, left)) == [(1, 2), (1, 2), (3, 4)]
+
+
+@pytest.mark.parametrize("copies", [0, 1, 2, 61])
+def test_replicate(places, copies):
+    expected = collections.Counter(map(tuple, places.collect() * copies))
+    assert collections.Counter(map(tuple, replicate(places, copies).collect())) == expected
+    assert replicate(places, copies).columns == places.columns
+    assert replicate(places, copies, spread_to=3).count() == 3 * copies
+
+
+def test_replicate_refuses_negative_numbers(places):
+    with pytest.raises(ValueError):
+        replicate(places, -1)
+
+
+def test_first_rows_and_preview(spark):
+    numbers = spark.range(100)
+    assert [row.id for row in first_rows(numbers, 3, F.desc("id")).collect()] == [99, 98, 97]
+    assert first_rows(numbers, 7).count() == 7
+    assert preview(numbers).count() == 20
+    assert len(preview_pandas(numbers, 4)) == 4
+
+
+def test_where_equal_needs_every_value(places):
+    assert rows(where_equal(places, KEY=2, ZIP="x")) == [(2, None, "x", None)] * 2
+    assert rows(where_equal(places, KEY=2, ZIP="y")) == []
+
+
+def test_replace_only_in_the_listed_columns(spark):
+    codes = rows_to_frame(
+        spark, [("T1", "T1"), ("T12", "T1"), (None, "T1")], "arg string, other string"
+    )
+    replaced = replace_values(codes, {"T1": "S1"}, ["arg"])
+    assert rows(replaced) == [("S1", "T1"), ("T12", "T1"), (None, "T1")]
+    assert rows(codes)[0] == ("T1", "T1")
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_where_in_keeps_each_row_once(spark, unique):
+    left = rows_to_frame(spark, [(1,), (1,), (2,), (3,), (None,)], "k int")
+    keys = [(1,), (3,), (None,)] + ([] if unique else [(1,), (1,)])
+    result = where_in(left, "k", rows_to_frame(spark, keys, "key int"), unique=unique)
+    assert rows(result) == [(1,), (1,), (3,)]
+    assert result.columns == ["k"]
+
+
+def test_where_in_without_keys(spark, places):
+    assert where_in(places, "KEY", rows_to_frame(spark, [], "k int")).count() == 0
+
+
+def test_where_scalar(spark, places):
+    keys = rows_to_frame(spark, [(1, "a"), (2, "b"), (2, "b")], "k int, s string")
+    picked = where_scalar(places, "KEY", where_equal(keys, s="a").select("k"))
+    assert rows(picked) == [(1, "Inn", "27601", 4.0)]
+    assert where_scalar(places, "KEY", where_equal(keys, s="z").select("k")).count() == 0
+    with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS"):
+        where_scalar(places, "KEY", where_equal(keys, s="b").select("k")).collect()
+
+
+def test_row_count(spark, places):
+    assert rows(row_count(places)) == [(3,)]
+    assert rows(row_count(places.where("KEY > 9"))) == [(0,)]
+
+
+def test_word_counts(spark):
+    texts = [
+        "the cat\tthe  Cat\n",
+        " the\fhat\r\nthe hat ",
+        "",
+        None,
+        "don't stop, don't",
+    ]
+    frame = rows_to_frame(spark, [(text,) for text in texts], "text string")
+    words = [word for text in texts if text for word in text.split()]
+    assert dict(rows(word_counts(frame, "text"))) == collections.Counter(words)
+
+
+def test_word_counts_are_sorted_within_each_partition(spark, tables):
+    documents = spark.read.parquet(f"{tables}/documents.parquet")
+    parts = (
+        word_counts(documents, "text")
+        .withColumn("partition", F.spark_partition_id())
+        .groupBy("partition")
+        .agg(F.collect_list("word").alias("words"))
+    )
+    for row in parts.collect():
+        assert row.words == sorted(row.words, key=lambda word: word.encode())
+
+
+def test_spread_and_partition_sizes(spark):
+    dealt = spread(spark.range(1000).coalesce(1), 5)
+    assert partition_count(dealt) == 5
+    sizes = dict(rows(partition_sizes(dealt)))
+    assert sorted(sizes) == [0, 1, 2, 3, 4]
+    assert set(sizes.values()) == {200}
+
+
+def test_schema_as_json_and_rows(spark):
+    frame = spark.sql(
+        "SELECT 1 AS a, named_struct('x', 'y', 'deep', named_struct('z', 1D)) AS s, "
+        "array(named_struct('e', 2)) AS l"
+    )
+    assert [f["name"] for f in json.loads(schema_json(frame))["fields"]] == ["a", "s", "l"]
+    listed = [(row.position, row.field, row.type) for row in schema_rows(frame).collect()]
+    assert sorted(listed) == [
+        (0, "a", "int"),
+        (1, "s", "struct<x:string,deep:struct<z:double>>"),
+        (2, "s.x", "string"),
+        (3, "s.deep", "struct<z:double>"),
+        (4, "s.deep.z", "double"),
+        (5, "l", "array<struct<e:int>>"),
+        (6, "l.e", "int"),
+    ]
