@@ -33,12 +33,21 @@ def composite_id(*parts: Column | str) -> Column:
     return join_text(*parts, sep="_")
 
 
+def _literal_pattern(separator: str) -> str:
+    """A pattern for exactly this text; single characters avoid the regex engine."""
+    if len(separator) == 1:
+        return separator if separator.isalnum() else f"\\{separator}"
+    return rf"\Q{separator}\E"
+
+
 def split_item(value: Column | str, separator: str, position: int) -> Column:
-    r"""Item ``position`` (from 0) of a string cut at a literal separator, else NULL.
+    """Item ``position`` (from 0) of a string cut at a literal separator, else NULL.
 
-    A string without enough separators gives NULL in ANSI mode too.
+    A string without enough separators gives NULL in ANSI mode too. What follows
+    the item is not cut any further, however long the string is.
     """
-    return F.get(F.split(value, rf"\Q{separator}\E"), F.lit(position))
+    cut = F.split(value, _literal_pattern(separator), position + 2)
+    return F.get(cut, F.lit(position))
 
 
 def split_words(value: Column | str) -> Column:

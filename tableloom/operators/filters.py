@@ -25,14 +25,16 @@ def where_in(df: DataFrame, column: str, keys: DataFrame, *, unique: bool = Fals
 
     - keys are made distinct, each task dropping its own repeats before the
       shuffle; say ``unique`` for a key column that has none, to skip this;
+    - rows and keys that are NULL, which match nothing, are dropped in the scan;
     - a frequent value of ``column`` is cut into several tasks by adaptive
       skew-join handling. It needs both shuffles right under the join, so the keys
       are made distinct under a second, different partitioning.
     """
+    key = F.col(f"`{keys.columns[0]}`")
+    keys = keys.where(key.isNotNull())
     if not unique:
-        key = F.col(f"`{keys.columns[0]}`")
         keys = keys.select(key, F.xxhash64(key).alias("__hash")).distinct().select(key)
-    return df.where(F.col(column).isin(keys))
+    return df.where(F.col(column).isNotNull() & F.col(column).isin(keys))
 
 
 def where_scalar(df: DataFrame, column: str, one_row: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# How far midpoint_and_copies goes.
+# How far midpoint_and_copies goes.
 MODES = ("noop", "col", "full")
 
 

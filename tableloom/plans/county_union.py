@@ -14,7 +14,8 @@ from pyspark.sql.types import DateType, DoubleType, StringType, StructField, Str
 from tableloom.functions import composite_id, item, nested_fields, split_item
 from tableloom.operators import conform, union_by_name
 
-# Both sides are cast to this; inferred types of the two files need not agree.
+# The columns of the common shape. Both sides are cast to its types,
+# so types inferred for the two files need not agree.
 PLACES = StructType(
     [
         StructField("id", StringType()),

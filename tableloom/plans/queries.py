@@ -226,37 +226,32 @@ def replace_value(spark, folder):
     return replace_values(table(spark, folder, "orders"), {"F": "FINAL"}, ["o_orderstatus"])
 
 
-@query("in_subquery")
-def in_subquery(spark, folder):
+def _customers_of_region(spark: SparkSession, folder: str) -> DataFrame:
     nations = where_equal(table(spark, folder, "nation"), n_regionkey=1)
     return where_in(
         table(spark, folder, "customer"), "c_nationkey", nations.select("n_nationkey"), unique=True
     )
 
 
+def _orders_of_region(spark: SparkSession, folder: str) -> DataFrame:
+    customers = _customers_of_region(spark, folder).select("c_custkey")
+    return where_in(table(spark, folder, "orders"), "o_custkey", customers, unique=True)
+
+
+@query("in_subquery")
+def in_subquery(spark, folder):
+    return _customers_of_region(spark, folder)
+
+
 @query("nested_in_subquery")
 def nested_in_subquery(spark, folder):
-    nations = where_equal(table(spark, folder, "nation"), n_regionkey=1)
-    customers = where_in(
-        table(spark, folder, "customer"), "c_nationkey", nations.select("n_nationkey")
-    )
-    return where_in(
-        table(spark, folder, "orders"), "o_custkey", customers.select("c_custkey"), unique=True
-    )
+    return _orders_of_region(spark, folder)
 
 
 @query("deep_in_subquery")
 def deep_in_subquery(spark, folder):
-    nations = where_equal(table(spark, folder, "nation"), n_regionkey=1)
-    customers = where_in(
-        table(spark, folder, "customer"), "c_nationkey", nations.select("n_nationkey")
-    )
-    orders = where_in(
-        table(spark, folder, "orders"), "o_custkey", customers.select("c_custkey"), unique=True
-    )
-    return where_in(
-        table(spark, folder, "lineitem"), "l_orderkey", orders.select("o_orderkey"), unique=True
-    )
+    orders = _orders_of_region(spark, folder).select("o_orderkey")
+    return where_in(table(spark, folder, "lineitem"), "l_orderkey", orders, unique=True)
 
 
 @query("in_subquery_repeated_keys")

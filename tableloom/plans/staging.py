@@ -71,7 +71,7 @@ def csv_copy(spark: SparkSession, folder: str, name: str, *, header: bool) -> st
         spark,
         folder,
         f"{name}-csv-{'header' if header else 'bare'}",
-        lambda path: write_csv(table(spark, folder, name), path, header=header),
+        lambda path: write_csv(dealt_table(spark, folder, name), path, header=header),
     )
 
 
@@ -90,7 +90,7 @@ def nested_events(spark: SparkSession, folder: str) -> str:
 
     Every fifth event has no location, every seventh a type without a code.
     """
-    events = table(spark, folder, "events")
+    events = dealt_table(spark, folder, "events")
     register = events.select(
         F.concat(F.lit("rec-"), "event_id").alias("recordid"),
         F.col("ts").alias("record_timestamp"),

@@ -27,6 +27,22 @@ def open_session(app_name: str = "tableloom", conf: dict[str, str] | None = None
     return builder.getOrCreate()
 
 
+def object_store_conf(
+    endpoint: str, access_key: str, secret_key: str, *, path_style: bool = True, ssl: bool = True
+) -> dict[str, str]:
+    """Session settings under which ``s3a:`` paths lead to an S3-compatible store.
+
+    Pass the result to ``open_session``; keys come from the caller's secret store.
+    """
+    return {
+        "spark.hadoop.fs.s3a.endpoint": endpoint,
+        "spark.hadoop.fs.s3a.access.key": access_key,
+        "spark.hadoop.fs.s3a.secret.key": secret_key,
+        "spark.hadoop.fs.s3a.path.style.access": str(path_style).lower(),
+        "spark.hadoop.fs.s3a.connection.ssl.enabled": str(ssl).lower(),
+    }
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
@@ -50,10 +66,11 @@ def new_scratch(spark: SparkSession, label: str) -> str:
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:
-    """Size of a file or folder on any Hadoop file system, without listing it to Python."""
+    """Size of what a path or glob names on any Hadoop file system; 0 if there is nothing."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     filesystem = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return filesystem.getContentSummary(hadoop_path).getLength()
+    matches = filesystem.globStatus(hadoop_path) or []
+    return sum(filesystem.getContentSummary(match.getPath()).getLength() for match in matches)
 
 
 def file_count(

@@ -55,6 +55,10 @@ def test_split_item(spark, value, position, expected):
 def test_split_item_takes_the_separator_literally(spark):
     assert one(spark, split_item("v", ".", 1), v="a.b") == "b"
     assert one(spark, split_item("v", "||", 1), v="a||b") == "b"
+    for separator in "|\\^$*+?()[]{}-_x0 \té":
+        text = separator.join(["a", "b", "", "c"])
+        found = [one(spark, split_item("v", separator, i), v=text) for i in range(5)]
+        assert found == ["a", "b", "", "c", None]
 
 
 def test_array_item(spark):

@@ -153,10 +153,20 @@ def test_scratch_folder_is_never_machine_local_on_a_cluster():
         session.scratch_root(cluster)
 
 
+def test_object_store_settings():
+    conf = session.object_store_conf("http://store:9000", "key", "secret", ssl=False)
+    assert all(name.startswith("spark.hadoop.fs.s3a.") for name in conf)
+    assert conf["spark.hadoop.fs.s3a.connection.ssl.enabled"] == "false"
+    assert conf["spark.hadoop.fs.s3a.path.style.access"] == "true"
+
+
 def test_sizes_follow_the_input(spark, tmp_path, settings):
     (tmp_path / "in.bin").write_bytes(b"x" * 1000)
     path = str(tmp_path / "in.bin")
     assert session.input_bytes(spark, path) == 1000
+    assert session.input_bytes(spark, str(tmp_path)) == 1000
+    assert session.input_bytes(spark, str(tmp_path / "*.bin")) == 1000
+    assert session.input_bytes(spark, str(tmp_path / "absent")) == 0
     assert session.file_count(spark, path) == 5
     assert session.file_count(spark, path, bytes_each=100) == 10
     settings(shuffle__partitions="8")

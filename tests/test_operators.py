@@ -166,6 +166,12 @@ def test_where_in_without_keys(spark, places):
     assert where_in(places, "KEY", rows_to_frame(spark, [], "k int")).count() == 0
 
 
+@pytest.mark.parametrize("unique", [True, False])
+def test_where_in_keys_from_the_same_frame(places, unique):
+    keys = places.where("NAME IS NULL").select("KEY")
+    assert rows(where_in(places, "KEY", keys, unique=unique)) == [(2, None, "x", None)] * 2
+
+
 def test_where_scalar(spark, places):
     keys = rows_to_frame(spark, [(1, "a"), (2, "b"), (2, "b")], "k int, s string")
     picked = where_scalar(places, "KEY", where_equal(keys, s="a").select("k"))

@@ -96,6 +96,13 @@ def test_small_key_lists_are_broadcast(spark, table):
     assert "BroadcastHashJoin LeftSemi" in plan
 
 
+def test_null_keys_never_reach_the_shuffle(spark, settings, table):
+    settings(autoBroadcastJoinThreshold="-1")
+    keys = table("customer").select("c_custkey")
+    plan = plan_text(where_in(table("orders"), "o_custkey", keys, unique=True))
+    assert "IsNotNull(o_custkey)" in plan and "IsNotNull(c_custkey)" in plan
+
+
 def test_scalar_subquery_is_no_join(table):
     key = where_equal(table("nation"), n_name="NATION_3").select("n_nationkey")
     plan = plan_text(where_scalar(table("customer"), "c_nationkey", key))
