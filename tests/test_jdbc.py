@@ -1,6 +1,7 @@
 """JDBC reads, short of a database: how a table is cut and what Spark is asked for."""
 
 import collections
+import functools
 from unittest import mock
 
 import pytest
@@ -102,6 +103,31 @@ def test_what_the_reader_is_asked_for():
     )
 
 
+def test_bounds_and_predicates_as_a_database_would_run_them(spark, tables):
+    """The SQL that would be sent, run on a view of the given table instead."""
+
+    def answer(url, table, properties, predicates=("true",)):
+        parts = [spark.sql(f"SELECT * FROM {table} WHERE {p}") for p in predicates]
+        return functools.reduce(lambda left, right: left.union(right), parts)
+
+    spark.read.parquet(f"{tables}/part.parquet").createOrReplaceTempView("jdbc_part")
+    session = mock.Mock()
+    session.read.jdbc.side_effect = answer
+    low, high = jdbc.key_bounds(session, "jdbc:x", "jdbc_part", PROPERTIES, "p_partkey")
+    whole = read_jdbc(session, "jdbc:x", "jdbc_part", PROPERTIES)
+    assert (low, high) == whole.agg(F.min("p_partkey"), F.max("p_partkey")).first()[:]
+    pieces = read_jdbc(
+        session,
+        "jdbc:x",
+        "jdbc_part",
+        PROPERTIES,
+        predicates=key_range_predicates("p_partkey", low, high + 1, 7),
+    )
+    assert sorted(map(tuple, pieces.collect())) == sorted(map(tuple, whole.collect()))
+    empty = "(SELECT * FROM jdbc_part WHERE false) nothing"
+    assert jdbc.key_bounds(session, "jdbc:x", empty, PROPERTIES, "p_partkey") is None
+
+
 def test_bounds_come_from_the_table():
     session = mock.Mock()
     with mock.patch.object(jdbc, "key_bounds", return_value=(5, 2004)):
