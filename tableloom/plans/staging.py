@@ -6,6 +6,7 @@ once per session.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,12 @@ from tableloom.session import input_bytes, new_scratch
 from tableloom.sinks import write_csv, write_json
 
 # Files with line breaks inside values are read by one task each: keep them moderate.
-TEXTS_PER_FILE = 100_000
+TEXTS_PER_FILE = 20_000
 ROWS_PER_FILE = 2_000_000
 
-# Below this much input per core a table may sit in fewer pieces than there are cores.
-SMALL_BYTES_PER_CORE = 128 * 1024 * 1024
+# A table below SMALL_BYTES may sit in fewer pieces than there are cores.
+SMALL_BYTES = 1024 * 1024 * 1024
+PIECE_BYTES = 256 * 1024
 
 _written: dict[tuple[str, str, str], str] = {}
 
@@ -38,13 +40,13 @@ def table_path(folder: str, name: str) -> str:
 def dealt_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table for work that is heavy per row.
 
-    A small one, which a few tasks would read, is dealt out to all cores first; a
-    large one comes in enough pieces by itself and is not shuffled.
+    A small one, which a few tasks would read, is dealt out to the cores first; a
+    large one comes in enough pieces by itself and is never shuffled here.
     """
-    cores = spark.sparkContext.defaultParallelism
-    small = input_bytes(spark, table_path(folder, name)) < cores * SMALL_BYTES_PER_CORE
     df = table(spark, folder, name)
-    return spread(df, cores) if small else df
+    size = input_bytes(spark, table_path(folder, name))
+    pieces = min(spark.sparkContext.defaultParallelism, math.ceil(size / PIECE_BYTES))
+    return spread(df, pieces) if pieces > 1 and size < SMALL_BYTES else df
 
 
 def staged(spark: SparkSession, folder: str, label: str, write: Callable[[str], None]) -> str:
