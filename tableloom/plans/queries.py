@@ -53,11 +53,12 @@ from tableloom.plans.staging import (
     json_copy,
     nested_events,
     new_database,
+    shuffled_table,
     staged,
     table,
     table_path,
 )
-from tableloom.session import file_count, new_scratch
+from tableloom.session import file_count, new_scratch, size_shuffles
 from tableloom.sinks import insert_frame, insert_rows, write_csv
 from tableloom.sources import integer_range, read_csv, read_json, read_lines, rows_to_frame
 
@@ -228,14 +229,14 @@ def replace_value(spark, folder):
 
 def _customers_of_region(spark: SparkSession, folder: str) -> DataFrame:
     nations = where_equal(table(spark, folder, "nation"), n_regionkey=1)
-    return where_in(
-        table(spark, folder, "customer"), "c_nationkey", nations.select("n_nationkey"), unique=True
-    )
+    customers = shuffled_table(spark, folder, "customer")
+    return where_in(customers, "c_nationkey", nations.select("n_nationkey"), unique=True)
 
 
 def _orders_of_region(spark: SparkSession, folder: str) -> DataFrame:
     customers = _customers_of_region(spark, folder).select("c_custkey")
-    return where_in(table(spark, folder, "orders"), "o_custkey", customers, unique=True)
+    orders = shuffled_table(spark, folder, "orders")
+    return where_in(orders, "o_custkey", customers, unique=True)
 
 
 @query("in_subquery")
@@ -251,12 +252,13 @@ def nested_in_subquery(spark, folder):
 @query("deep_in_subquery")
 def deep_in_subquery(spark, folder):
     orders = _orders_of_region(spark, folder).select("o_orderkey")
-    return where_in(table(spark, folder, "lineitem"), "l_orderkey", orders, unique=True)
+    lines = shuffled_table(spark, folder, "lineitem")
+    return where_in(lines, "l_orderkey", orders, unique=True)
 
 
 @query("in_subquery_repeated_keys")
 def in_subquery_repeated_keys(spark, folder):
-    returned = where_equal(table(spark, folder, "lineitem"), l_returnflag="R")
+    returned = where_equal(shuffled_table(spark, folder, "lineitem"), l_returnflag="R")
     return where_in(table(spark, folder, "part"), "p_partkey", returned.select("l_partkey"))
 
 
@@ -287,6 +289,7 @@ def count_rows(spark, folder):
 
 @query("word_count")
 def count_words(spark, folder):
+    size_shuffles(spark, table_path(folder, "documents"))
     return word_counts(dealt_table(spark, folder, "documents"), "text")
 
 
@@ -450,6 +453,7 @@ def word_count_files(spark, folder):
         lambda path: dealt_table(spark, folder, "documents").select("text").write.text(path),
     )
     target = new_scratch(spark, "word-count")
+    size_shuffles(spark, source)
     word_count.run(spark, source, target)
     line = read_lines(spark, target)
     return line.select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tableloom import catalog
 from tableloom.operators import spread
-from tableloom.session import input_bytes, new_scratch
+from tableloom.session import input_bytes, new_scratch, size_shuffles
 from tableloom.sinks import write_csv, write_json
 
 # Files with line breaks inside values are read by one task each: keep them moderate.
@@ -49,6 +49,12 @@ def dealt_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(df, pieces) if pieces > 1 and size < SMALL_BYTES else df
 
 
+def shuffled_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table that a join or count will shuffle: makes room for its size."""
+    size_shuffles(spark, table_path(folder, name))
+    return table(spark, folder, name)
+
+
 def staged(spark: SparkSession, folder: str, label: str, write: Callable[[str], None]) -> str:
     """Path of a copy, written by ``write(path)`` on first use in this session."""
     key = (spark.sparkContext.applicationId, folder, label)

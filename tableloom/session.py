@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
 }
 
+MOST_PARTITIONS = 20_000
+
 
 def open_session(app_name: str = "tableloom", conf: dict[str, str] | None = None) -> SparkSession:
     """Get or create a session with ``DEFAULTS`` overlaid by ``conf``."""
@@ -76,16 +78,23 @@ def input_bytes(spark: SparkSession, path: str) -> int:
 def file_count(
     spark: SparkSession, path: str, at_least: int = 5, bytes_each: int = 256 * 1024 * 1024
 ) -> int:
-    """Tasks or files to deal an input out to: ``at_least``, more where it is large."""
-    return max(at_least, math.ceil(input_bytes(spark, path) / bytes_each))
+    """Tasks or files to deal an input out to: ``at_least``, more where it is large.
+
+    Never above ``MOST_PARTITIONS``: the blocks of a shuffle are map tasks times
+    partitions, and beyond some point larger partitions are the lesser cost.
+    """
+    wanted = math.ceil(input_bytes(spark, path) / bytes_each)
+    return max(at_least, min(wanted, MOST_PARTITIONS))
 
 
 def size_shuffles(spark: SparkSession, path: str, bytes_each: int = 128 * 1024 * 1024) -> int:
     """Enough shuffle partitions that each holds about ``bytes_each`` of the input at ``path``.
 
-    Never fewer than the session already has; adaptive execution joins small ones.
+    Only ever raises the session's setting; adaptive execution joins small partitions
+    again, so a high number does no harm to the session's other queries.
     """
     configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
     count = file_count(spark, path, configured, bytes_each)
-    spark.conf.set("spark.sql.shuffle.partitions", str(count))
+    if count > configured:
+        spark.conf.set("spark.sql.shuffle.partitions", str(count))
     return count

@@ -5,11 +5,18 @@ A path is any Hadoop URI and is passed through untouched, so the same call reads
 """
 
 from tableloom.sources.files import CSV_LOSSLESS, read_csv, read_json, read_lines
-from tableloom.sources.jdbc import key_bounds, key_range_predicates, read_jdbc, read_jdbc_by_key
+from tableloom.sources.jdbc import (
+    frequent_keys,
+    key_bounds,
+    key_range_predicates,
+    read_jdbc,
+    read_jdbc_by_key,
+)
 from tableloom.sources.memory import integer_range, rows_to_frame
 
 __all__ = [
     "CSV_LOSSLESS",
+    "frequent_keys",
     "integer_range",
     "key_bounds",
     "key_range_predicates",

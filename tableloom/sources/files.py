@@ -10,13 +10,16 @@ from pyspark.sql.types import StructType
 # timestamps keep milliseconds only. With these settings on BOTH sides, and the
 # same schema on the read, every scalar value comes back unchanged. The line end has
 # to be named, or the reader guesses it from the first break it meets, which may be
-# one inside a value.
+# one inside a value; and the escape of the escape has to be named, or it is the NUL
+# character, which then disappears from values. NULL is written as U+0001, so a value
+# of exactly that one character is the only one that reads as NULL.
 CSV_LOSSLESS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
     "multiLine": "true",
     "lineSep": "\n",
     "escape": '"',
+    "charToEscapeQuoteEscaping": '"',
     "nullValue": "\u0001",
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,33 @@ def key_bounds(
     return None if low is None else (int(low), int(high))
 
 
+def frequent_keys(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    properties: dict[str, str],
+    column: str,
+    parts: int,
+) -> dict[int, int]:
+    """Keys with more than a fair share of the rows, counted by the database.
+
+    A share is one of ``parts`` equal ones, so there are at most ``parts`` such keys.
+    Each comes with the number of shares it fills.
+    """
+    counted = read_jdbc(
+        spark,
+        url,
+        f"(SELECT {column} AS k, COUNT(*) AS n, (SELECT COUNT(*) FROM {table}) AS total"
+        f" FROM {table} WHERE {column} IS NOT NULL GROUP BY {column}"
+        f" HAVING COUNT(*) > 1 AND COUNT(*) * {parts} > (SELECT COUNT(*) FROM {table}))"
+        " frequent_keys",
+        properties,
+    )
+    return {
+        int(row["k"]): math.ceil(row["n"] * parts / row["total"]) for row in counted.collect()
+    }
+
+
 def read_jdbc_by_key(
     spark: SparkSession,
     url: str,
@@ -49,14 +77,18 @@ def read_jdbc_by_key(
     num_partitions: int,
     lower: int | None = None,
     upper: int | None = None,
+    spread_column: str | None = None,
 ) -> DataFrame:
     """Read a remote table in ``num_partitions`` ranges of a numeric key.
 
     The bounds only set the width of the ranges and drop nothing: the first and
     last range take all keys beyond them, and NULL keys go to the first. Bounds
     far from the real keys therefore put most rows into one task, so they default
-    to the smallest and largest key. Choose a key that is close to unique; for a
-    key with a very frequent value read with ``key_range_predicates`` instead.
+    to the smallest and largest key.
+
+    A range is never narrower than one key. Where the key is not unique, name
+    another integer column in ``spread_column``: keys with more than a fair share
+    of the rows are then read in several parts, at most tripling the partitions.
     """
     if lower is None or upper is None:
         found = key_bounds(spark, url, table, properties, column)
@@ -64,6 +96,13 @@ def read_jdbc_by_key(
             return read_jdbc(spark, url, table, properties)
         lower = found[0] if lower is None else lower
         upper = found[1] + 1 if upper is None else upper
+    if spread_column is not None:
+        hot = frequent_keys(spark, url, table, properties, column, num_partitions)
+        if hot:
+            predicates = key_range_predicates(
+                column, lower, upper, num_partitions, hot_keys=hot, spread_column=spread_column
+            )
+            return read_jdbc(spark, url, table, properties, predicates=predicates)
     return spark.read.jdbc(
         url,
         table,
@@ -81,36 +120,33 @@ def key_range_predicates(
     upper: int,
     parts: int,
     *,
-    hot_keys: Sequence[int] = (),
+    hot_keys: Mapping[int, int] | None = None,
     spread_column: str | None = None,
-    ways: int = 1,
 ) -> list[str]:
     """WHERE clauses that split a table by key range, each row in exactly one.
 
-    Rows of a key in ``hot_keys`` are cut a second time, into ``ways`` clauses by
-    the remainder of ``spread_column``, so that no single task reads them all.
+    Rows of a key in ``hot_keys`` are cut a second time, into the given number of
+    clauses by the remainder of ``spread_column``, so that no single task reads
+    them all.
     """
+    hot_keys = dict(sorted((hot_keys or {}).items()))
     if parts < 1 or upper < lower:
         raise ValueError("need parts >= 1 and lower <= upper")
     if hot_keys and not spread_column:
         raise ValueError("hot_keys need a spread_column to be split by")
     cuts = sorted({lower + (upper - lower) * i // parts for i in range(1, parts)} - {lower})
-    ranges = [
-        " AND ".join(
-            ([f"{column} >= {low}"] if low is not None else [])
-            + ([f"{column} < {high}"] if high is not None else [])
-        )
-        for low, high in zip([None, *cuts], [*cuts, None])
-    ]
-    ranges = [clause or f"{column} IS NOT NULL" for clause in ranges]
-    if hot_keys:
-        listed = ", ".join(str(key) for key in sorted(set(hot_keys)))
-        ranges = [f"{clause} AND {column} NOT IN ({listed})" for clause in ranges]
+    ranges = []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        limits = [f"{column} IS NOT NULL"]
+        limits += [f"{column} >= {low}"] if low is not None else []
+        limits += [f"{column} < {high}"] if high is not None else []
+        limits += [f"{column} NOT IN ({', '.join(map(str, hot_keys))})"] if hot_keys else []
+        ranges.append(" AND ".join(limits))
     ranges[0] = f"({ranges[0]}) OR {column} IS NULL"
+    remainder = f"COALESCE(ABS(MOD({spread_column}, {{ways}})), 0)"
     hot = [
-        f"{column} = {key} AND (ABS(MOD({spread_column}, {ways})) = {way}"
-        + (f" OR {spread_column} IS NULL)" if way == 0 else ")")
-        for key in sorted(set(hot_keys))
+        f"{column} = {key} AND {remainder.format(ways=ways)} = {way}"
+        for key, ways in hot_keys.items()
         for way in range(ways)
     ]
     return ranges + hot

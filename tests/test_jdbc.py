@@ -43,7 +43,7 @@ def test_a_hot_key_is_split_again(spark):
     rows = [(7, i) for i in range(300)] + [(i, i) for i in range(600)] + [(7, None), (None, 1)]
     frame = rows_to_frame(spark, rows, "k bigint, line bigint")
     predicates = key_range_predicates(
-        "k", 0, 600, 6, hot_keys=[7], spread_column="line", ways=5
+        "k", 0, 600, 6, hot_keys={7: 5}, spread_column="line"
     )
     per_row, per_predicate = hits(frame, predicates)
     assert per_row == {1: len(rows)}
@@ -58,12 +58,12 @@ def test_a_hot_key_is_split_again(spark):
     low=st.integers(-10, 10),
     width=st.integers(0, 30),
     parts=st.integers(1, 9),
-    hot=st.lists(st.integers(-20, 40), max_size=3),
+    hot=st.dictionaries(st.integers(-20, 40), st.integers(1, 4), max_size=3),
 )
 def test_every_row_meets_exactly_one_predicate(spark, keys, low, width, parts, hot):
     frame = rows_to_frame(spark, list(zip(keys, range(-5, len(keys)))), "k bigint, v bigint")
     predicates = key_range_predicates(
-        "k", low, low + width, parts, hot_keys=hot, spread_column="v", ways=3
+        "k", low, low + width, parts, hot_keys=hot, spread_column="v"
     )
     per_row, _ = hits(frame, predicates)
     assert per_row == {1: len(keys)}
@@ -75,7 +75,7 @@ def test_bad_ranges():
     with pytest.raises(ValueError):
         key_range_predicates("k", 10, 0, 2)
     with pytest.raises(ValueError):
-        key_range_predicates("k", 0, 10, 2, hot_keys=[1])
+        key_range_predicates("k", 0, 10, 2, hot_keys={1: 2})
 
 
 PROPERTIES = {"driver": "some.Driver", "user": "reader"}
@@ -103,21 +103,26 @@ def test_what_the_reader_is_asked_for():
     )
 
 
-def test_bounds_and_predicates_as_a_database_would_run_them(spark, tables):
-    """The SQL that would be sent, run on a view of the given table instead."""
+@pytest.fixture
+def database(spark):
+    """Answers with the SQL a database would get, run on views of this session instead."""
 
     def answer(url, table, properties, predicates=("true",)):
         parts = [spark.sql(f"SELECT * FROM {table} WHERE {p}") for p in predicates]
         return functools.reduce(lambda left, right: left.union(right), parts)
 
-    spark.read.parquet(f"{tables}/part.parquet").createOrReplaceTempView("jdbc_part")
     session = mock.Mock()
     session.read.jdbc.side_effect = answer
-    low, high = jdbc.key_bounds(session, "jdbc:x", "jdbc_part", PROPERTIES, "p_partkey")
-    whole = read_jdbc(session, "jdbc:x", "jdbc_part", PROPERTIES)
+    return session
+
+
+def test_bounds_and_predicates_as_sql(spark, tables, database):
+    spark.read.parquet(f"{tables}/part.parquet").createOrReplaceTempView("jdbc_part")
+    low, high = jdbc.key_bounds(database, "jdbc:x", "jdbc_part", PROPERTIES, "p_partkey")
+    whole = read_jdbc(database, "jdbc:x", "jdbc_part", PROPERTIES)
     assert (low, high) == whole.agg(F.min("p_partkey"), F.max("p_partkey")).first()[:]
     pieces = read_jdbc(
-        session,
+        database,
         "jdbc:x",
         "jdbc_part",
         PROPERTIES,
@@ -125,7 +130,34 @@ def test_bounds_and_predicates_as_a_database_would_run_them(spark, tables):
     )
     assert sorted(map(tuple, pieces.collect())) == sorted(map(tuple, whole.collect()))
     empty = "(SELECT * FROM jdbc_part WHERE false) nothing"
-    assert jdbc.key_bounds(session, "jdbc:x", empty, PROPERTIES, "p_partkey") is None
+    assert jdbc.key_bounds(database, "jdbc:x", empty, PROPERTIES, "p_partkey") is None
+
+
+def test_a_table_with_a_hot_key_as_sql(spark, tables, database):
+    lines = spark.read.parquet(f"{tables}/lineitem.parquet").withColumn(
+        "l_suppkey", F.when(F.col("l_orderkey") % 3 == 0, 4).otherwise(F.col("l_partkey"))
+    )
+    lines.createOrReplaceTempView("jdbc_lines")
+    rows = lines.count()
+    hot = jdbc.frequent_keys(database, "jdbc:x", "jdbc_lines", PROPERTIES, "l_suppkey", 10)
+    assert set(hot) == {4} and hot[4] == 4
+    read = read_jdbc_by_key(
+        database,
+        "jdbc:x",
+        "jdbc_lines",
+        PROPERTIES,
+        column="l_suppkey",
+        num_partitions=10,
+        spread_column="l_orderkey",
+    )
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, lines.collect()))
+    predicates = database.read.jdbc.call_args.kwargs["predicates"]
+    assert len(predicates) == 14
+    per_row, per_predicate = hits(lines, predicates)
+    assert per_row == {1: rows}
+    assert max(per_predicate) < rows / 6
+    none_hot = jdbc.frequent_keys(database, "jdbc:x", "jdbc_part", PROPERTIES, "p_partkey", 10)
+    assert none_hot == {}
 
 
 def test_bounds_come_from_the_table():

@@ -169,6 +169,8 @@ def test_sizes_follow_the_input(spark, tmp_path, settings):
     assert session.input_bytes(spark, str(tmp_path / "absent")) == 0
     assert session.file_count(spark, path) == 5
     assert session.file_count(spark, path, bytes_each=100) == 10
+    with mock.patch.object(session, "input_bytes", return_value=100 * 2**40):
+        assert session.file_count(spark, path) == session.MOST_PARTITIONS
     settings(shuffle__partitions="8")
     assert session.size_shuffles(spark, path) == 8
     assert session.size_shuffles(spark, path, bytes_each=10) == 100
