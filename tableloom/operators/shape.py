@@ -39,10 +39,12 @@ def conform(
     df = df.drop(*drop)
     if target is None:
         return df
-    present = set(df.columns)
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    fold = str if exact else str.lower
+    present = {fold(name) for name in df.columns}
     return df.select(
         *(
-            (F.col(f"`{field.name}`") if field.name in present else F.lit(None))
+            (F.col(f"`{field.name}`") if fold(field.name) in present else F.lit(None))
             .cast(field.dataType)
             .alias(field.name)
             for field in target
@@ -68,8 +70,8 @@ def midpoint_and_copies(df: DataFrame, low: str, high: str, mode: str = "col") -
         return df
     derived = {
         "avg": F.expr(f"(`{low}` + `{high}`) / 2"),
-        f"{low}2": F.col(low),
-        f"{high}2": F.col(high),
+        f"{low}2": F.col(f"`{low}`"),
+        f"{high}2": F.col(f"`{high}`"),
     }
     df = df.withColumns(derived)
     return df.drop(*derived) if mode == "full" else df

@@ -41,14 +41,17 @@ def read_csv(
     Without a header the columns are ``_c0, _c1, ...`` and a header line, if the
     file has one, is an ordinary row. Without ``schema`` or ``infer`` every column
     is a string. ``infer`` reads all the data once more to find the types, so on
-    large inputs declare ``schema`` instead.
+    large inputs declare ``schema`` instead. With both a header and a schema their
+    names have to agree, in every file; the option ``enforceSchema="true"`` takes the
+    columns by position whatever the header says.
 
     ``lossless`` allows line breaks inside values, which makes a file one task:
     write such files in moderate sizes (``write_csv(max_records_per_file=...)``).
     """
-    reader = spark.read.options(**{**(CSV_LOSSLESS if lossless else {}), **options})
+    reader = spark.read.options(**(CSV_LOSSLESS if lossless else {}))
     if schema is not None:
-        reader = reader.schema(schema)
+        reader = reader.schema(schema).option("enforceSchema", "false")
+    reader = reader.options(**options)
     return reader.csv(path, header=header, inferSchema=infer and schema is None)
 
 

@@ -44,14 +44,22 @@ def test_csv_inferred_and_declared_types(spark, shops):
         "string",
         "int",
     ]
-    declared = read_csv(
-        spark, shops, header=True, schema="n int, name string, city string, state string, id bigint"
-    )
+    schema = "n int, name string, city string, state string, id bigint"
+    declared = read_csv(spark, shops, header=True, schema=schema, enforceSchema="true")
     assert [tuple(row) for row in declared.collect()] == [
         tuple(row) for row in inferred.collect()
     ]
 
 
+def test_csv_header_and_schema_must_agree(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("a,b\n1,2\n")
+    path = str(tmp_path / "in.csv")
+    assert rows(read_csv(spark, path, header=True, schema="a int, b int")) == [(1, 2)]
+    assert rows(read_csv(spark, path, header=True, schema="a int, b int").select("b")) == [(2,)]
+    with pytest.raises(Exception, match="CSV header does not conform to the schema"):
+        read_csv(spark, path, header=True, schema="b int, a int").collect()
+
+
 def test_csv_writer_refuses_an_existing_folder(spark, tmp_path):
     target = str(tmp_path / "out")
     write_csv(spark.range(3), target)

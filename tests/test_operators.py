@@ -67,6 +67,13 @@ def test_conform_to_target_orders_casts_and_fills(places):
     assert rows(result) == [(None, "1"), (None, "2"), (None, "2")]
 
 
+def test_conform_finds_columns_whatever_their_case(places, settings):
+    target = StructType([StructField("name", StringType()), StructField("Key", StringType())])
+    assert rows(conform(places, target=target)) == [("Inn", "1"), (None, "2"), (None, "2")]
+    settings(caseSensitive="true")
+    assert rows(conform(places, target=target)) == [(None, None)] * 3
+
+
 def test_conform_does_not_hide_values_that_cannot_be_cast(places):
     target = StructType([StructField("ZIP", IntegerType())])
     with pytest.raises(NumberFormatException):
@@ -86,6 +93,8 @@ def test_midpoint_modes(spark):
     derived = midpoint_and_copies(limits, "lcl", "ucl")
     assert derived.columns == ["lcl", "ucl", "avg", "lcl2", "ucl2"]
     assert rows(derived) == [(1, 2, 1.5, 1, 2), (None, 4, None, None, 4)]
+    spaced = midpoint_and_copies(limits.toDF("low limit", "high.limit"), "low limit", "high.limit")
+    assert rows(spaced) == rows(derived)
     assert midpoint_and_copies(limits, "lcl", "ucl", "NOOP").columns == ["lcl", "ucl"]
     assert rows(midpoint_and_copies(limits, "lcl", "ucl", "Full")) == rows(limits)
     with pytest.raises(ValueError):
