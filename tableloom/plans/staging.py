@@ -68,7 +68,7 @@ def staged(spark: SparkSession, folder: str, label: str, write: Callable[[str],
 def new_database(spark: SparkSession, label: str) -> str:
     """A new database whose managed tables lie in the scratch folder."""
     path = new_scratch(spark, label)
-    name = path.rsplit("/", 1)[1].replace("-", "_")
+    name = "tableloom_" + path.rsplit("/", 1)[1].replace("-", "_")
     catalog.create_database(spark, name, path)
     return name
 

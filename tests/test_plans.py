@@ -29,9 +29,8 @@ def table(spark, tables):
 
 
 def read_columns(plan):
-    return [
-        set(re.findall(r"(\w+):", columns)) for columns in re.findall(r"ReadSchema: struct<(.*)>", plan)
-    ]
+    schemas = re.findall(r"ReadSchema: struct<(.*)>", plan)
+    return [set(re.findall(r"(\w+):", schema)) for schema in schemas]
 
 
 def test_only_named_columns_are_read(spark, tables, table):
@@ -154,3 +153,10 @@ def test_a_hot_word_arrives_as_one_row_per_task(spark):
     )
     counts = {row.word: row.n for row in word_counts(texts, "text").collect()}
     assert counts["hot"] == 8000 and len(counts) == 4001
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_query_needs_python_or_all_pairs(spark, tables, name):
+    plan = plan_text(QUERIES[name](spark, tables), "simple")
+    for costly in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas", "ExistingRDD"):
+        assert costly not in plan
