@@ -156,6 +156,7 @@ ORACLES: dict[str, str] = {
         FROM part, range(61)
     """,
     "repartition_rows": "SELECT * FROM orders",
+    "partition_sizes": "SELECT count(*) AS n FROM lineitem",
     "range_source": "SELECT row_number() OVER () - 1 AS id FROM lineitem",
     "rows_to_frame": """
         SELECT * FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')

@@ -28,6 +28,7 @@ from tableloom.operators import (
     conform,
     first_rows,
     midpoint_and_copies,
+    partition_sizes,
     rename_positional,
     replace_values,
     replicate,
@@ -86,24 +87,24 @@ def query(key: str) -> Callable[[Query], Query]:
 
 
 @query("project_columns")
-def project_columns(spark, folder):
+def project_columns(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", "lang")
 
 
 @query("sql_over_view")
-def sql_over_view(spark, folder):
+def sql_over_view(spark: SparkSession, folder: str) -> DataFrame:
     catalog.register_view(table(spark, folder, "customer"), "tableloom_customers")
     return spark.sql("SELECT * FROM tableloom_customers")
 
 
 @query("sql_column_over_view")
-def sql_column_over_view(spark, folder):
+def sql_column_over_view(spark: SparkSession, folder: str) -> DataFrame:
     catalog.register_view(table(spark, folder, "part"), "tableloom_parts")
     return spark.sql("SELECT p_name FROM tableloom_parts")
 
 
 @query("conform_rename_derive")
-def conform_rename_derive(spark, folder):
+def conform_rename_derive(spark: SparkSession, folder: str) -> DataFrame:
     return conform(
         table(spark, folder, "customer"),
         rename={"c_custkey": "datasetId", "c_name": "name", "not_there": "ignored"},
@@ -113,7 +114,7 @@ def conform_rename_derive(spark, folder):
 
 
 @query("composite_id")
-def composite_id_of_parts(spark, folder):
+def composite_id_of_parts(spark: SparkSession, folder: str) -> DataFrame:
     return conform(
         table(spark, folder, "customer"),
         rename={"c_custkey": "datasetId"},
@@ -124,14 +125,14 @@ def composite_id_of_parts(spark, folder):
 
 
 @query("rename_positional")
-def rename_by_position(spark, folder):
+def rename_by_position(spark: SparkSession, folder: str) -> DataFrame:
     return rename_positional(
         table(spark, folder, "supplier"), ["id", "name", "nation", "balance"]
     )
 
 
 @query("nested_json_fields")
-def nested_json_fields(spark, folder):
+def nested_json_fields(spark: SparkSession, folder: str) -> DataFrame:
     # Only what the schema names is parsed, also within the struct.
     schema = "recordid string, fields struct<id: bigint, premise_name: string>"
     register = read_json(spark, nested_events(spark, folder), schema=schema)
@@ -140,7 +141,7 @@ def nested_json_fields(spark, folder):
 
 
 @query("midpoint_and_copies")
-def midpoints(spark, folder):
+def midpoints(spark: SparkSession, folder: str) -> DataFrame:
     limits = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_discount").alias("lcl"), F.col("l_tax").alias("ucl")
     )
@@ -148,7 +149,7 @@ def midpoints(spark, folder):
 
 
 @query("derive_then_drop")
-def derive_then_drop(spark, folder):
+def derive_then_drop(spark: SparkSession, folder: str) -> DataFrame:
     limits = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_discount").alias("lcl"), F.col("l_tax").alias("ucl")
     )
@@ -159,21 +160,21 @@ def derive_then_drop(spark, folder):
 
 
 @query("concat_name")
-def concat_name(spark, folder):
+def concat_name(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "customer").select(
         "c_custkey", join_text("c_mktsegment", "c_name", sep=", ").alias("name")
     )
 
 
 @query("split_take_item")
-def split_take_item(spark, folder):
+def split_take_item(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select(
         "o_orderkey", split_item("o_orderpriority", "-", 1).alias("priority")
     )
 
 
 @query("split_take_missing_item")
-def split_take_missing_item(spark, folder):
+def split_take_missing_item(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select(
         "p_partkey",
         split_item("p_name", " ", 1).alias("second_word"),
@@ -182,7 +183,7 @@ def split_take_missing_item(spark, folder):
 
 
 @query("array_items")
-def array_items(spark, folder):
+def array_items(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(
         "vec_id",
         item("embedding", 0).alias("x"),
@@ -192,7 +193,7 @@ def array_items(spark, folder):
 
 
 @query("split_words")
-def split_into_words(spark, folder):
+def split_into_words(spark: SparkSession, folder: str) -> DataFrame:
     words = split_words("text")
     return dealt_table(spark, folder, "documents").select(
         "doc_id", F.size(words).alias("n_words"), F.array_join(words, "|").alias("words")
@@ -200,7 +201,7 @@ def split_into_words(spark, folder):
 
 
 @query("strip_whitespace")
-def strip_whitespace(spark, folder):
+def strip_whitespace(spark: SparkSession, folder: str) -> DataFrame:
     sentence = F.concat(F.lit("\t \n"), split_item("text", ".", 1), F.lit(" \r\n "))
     return dealt_table(spark, folder, "documents").select(
         "doc_id", strip_blanks(sentence).alias("sentence"), strip_blanks("text").alias("text")
@@ -211,19 +212,19 @@ def strip_whitespace(spark, folder):
 
 
 @query("filter_equality")
-def filter_equality(spark, folder):
+def filter_equality(spark: SparkSession, folder: str) -> DataFrame:
     return where_equal(table(spark, folder, "orders"), o_orderstatus="O")
 
 
 @query("filter_conjunction")
-def filter_conjunction(spark, folder):
+def filter_conjunction(spark: SparkSession, folder: str) -> DataFrame:
     return where_equal(
         table(spark, folder, "lineitem"), l_returnflag="R", l_linestatus="F", l_linenumber=1
     )
 
 
 @query("replace_value")
-def replace_value(spark, folder):
+def replace_value(spark: SparkSession, folder: str) -> DataFrame:
     return replace_values(table(spark, folder, "orders"), {"F": "FINAL"}, ["o_orderstatus"])
 
 
@@ -240,37 +241,37 @@ def _orders_of_region(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("in_subquery")
-def in_subquery(spark, folder):
+def in_subquery(spark: SparkSession, folder: str) -> DataFrame:
     return _customers_of_region(spark, folder)
 
 
 @query("nested_in_subquery")
-def nested_in_subquery(spark, folder):
+def nested_in_subquery(spark: SparkSession, folder: str) -> DataFrame:
     return _orders_of_region(spark, folder)
 
 
 @query("deep_in_subquery")
-def deep_in_subquery(spark, folder):
+def deep_in_subquery(spark: SparkSession, folder: str) -> DataFrame:
     orders = _orders_of_region(spark, folder).select("o_orderkey")
     lines = shuffled_table(spark, folder, "lineitem")
     return where_in(lines, "l_orderkey", orders, unique=True)
 
 
 @query("in_subquery_repeated_keys")
-def in_subquery_repeated_keys(spark, folder):
+def in_subquery_repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
     returned = where_equal(shuffled_table(spark, folder, "lineitem"), l_returnflag="R")
     return where_in(table(spark, folder, "part"), "p_partkey", returned.select("l_partkey"))
 
 
 @query("scalar_subquery_filter")
-def scalar_subquery_filter(spark, folder):
+def scalar_subquery_filter(spark: SparkSession, folder: str) -> DataFrame:
     nation = where_equal(table(spark, folder, "nation"), n_name="NATION_3").select("n_nationkey")
     customers = where_scalar(table(spark, folder, "customer"), "c_nationkey", nation)
     return where_equal(customers, c_mktsegment="BUILDING")
 
 
 @query("nested_scalar_subquery")
-def nested_scalar_subquery(spark, folder):
+def nested_scalar_subquery(spark: SparkSession, folder: str) -> DataFrame:
     customer = where_scalar(
         table(spark, folder, "customer"),
         "c_nationkey",
@@ -283,31 +284,31 @@ def nested_scalar_subquery(spark, folder):
 
 
 @query("row_count")
-def count_rows(spark, folder):
+def count_rows(spark: SparkSession, folder: str) -> DataFrame:
     return row_count(table(spark, folder, "lineitem"))
 
 
 @query("word_count")
-def count_words(spark, folder):
+def count_words(spark: SparkSession, folder: str) -> DataFrame:
     size_shuffles(spark, table_path(folder, "documents"))
     return word_counts(dealt_table(spark, folder, "documents"), "text")
 
 
 @query("limit_rows")
-def limit_rows(spark, folder):
+def limit_rows(spark: SparkSession, folder: str) -> DataFrame:
     orders = first_rows(table(spark, folder, "orders"), 10, "o_orderkey")
     return orders.select("o_orderkey", "o_orderpriority")
 
 
 @query("preview_limit")
-def preview_limit(spark, folder):
+def preview_limit(spark: SparkSession, folder: str) -> DataFrame:
     return first_rows(table(spark, folder, "lineitem"), 20, "l_orderkey", "l_linenumber").select(
         "l_orderkey", "l_linenumber"
     )
 
 
 @query("union_by_name_conformed")
-def union_by_name_conformed(spark, folder):
+def union_by_name_conformed(spark: SparkSession, folder: str) -> DataFrame:
     target = StructType(
         [
             StructField("datasetId", LongType()),
@@ -331,35 +332,40 @@ def union_by_name_conformed(spark, folder):
 
 
 @query("union_self")
-def union_self(spark, folder):
+def union_self(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer")
     return union_rows(customers, customers)
 
 
 @query("replicate_rows")
-def replicate_rows(spark, folder):
+def replicate_rows(spark: SparkSession, folder: str) -> DataFrame:
     return replicate(table(spark, folder, "supplier"), 61)
 
 
 @query("enlarged_midpoints")
-def enlarged_midpoints(spark, folder):
+def enlarged_midpoints(spark: SparkSession, folder: str) -> DataFrame:
     limits = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice")
     return enlarge_and_derive(limits, "p_size", "p_retailprice", copies=61, mode="col")
 
 
 @query("repartition_rows")
-def repartition_rows(spark, folder):
+def repartition_rows(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     return spread(orders, file_count(spark, table_path(folder, "orders")))
 
 
+@query("partition_sizes")
+def rows_of_all_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return partition_sizes(table(spark, folder, "lineitem")).agg(F.sum("n").alias("n"))
+
+
 @query("range_source")
-def range_source(spark, folder):
+def range_source(spark: SparkSession, folder: str) -> DataFrame:
     return integer_range(spark, table(spark, folder, "lineitem").count())
 
 
 @query("rows_to_frame")
-def literal_rows_frame(spark, folder):
+def literal_rows_frame(spark: SparkSession, folder: str) -> DataFrame:
     wanted = rows_to_frame(
         spark, [["1-URGENT"], ["2-HIGH"]], StructType([StructField("name", StringType())])
     )
@@ -370,17 +376,17 @@ def literal_rows_frame(spark, folder):
 
 
 @query("csv_scan_raw")
-def csv_scan_raw(spark, folder):
+def csv_scan_raw(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(spark, csv_copy(spark, folder, "customer", header=False))
 
 
 @query("csv_scan_header")
-def csv_scan_header(spark, folder):
+def csv_scan_header(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(spark, csv_copy(spark, folder, "orders", header=True), header=True)
 
 
 @query("csv_scan_infer")
-def csv_scan_infer(spark, folder):
+def csv_scan_infer(spark: SparkSession, folder: str) -> DataFrame:
     inferred = read_csv(
         spark, csv_copy(spark, folder, "orders", header=True), header=True, infer=True
     )
@@ -388,7 +394,7 @@ def csv_scan_infer(spark, folder):
 
 
 @query("csv_scan_declared")
-def csv_scan_declared(spark, folder):
+def csv_scan_declared(spark: SparkSession, folder: str) -> DataFrame:
     return read_csv(
         spark,
         csv_copy(spark, folder, "lineitem", header=True),
@@ -398,7 +404,7 @@ def csv_scan_declared(spark, folder):
 
 
 @query("csv_sink_noheader")
-def csv_sink_noheader(spark, folder):
+def csv_sink_noheader(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part")
     path = new_scratch(spark, "csv-sink")
     write_csv(parts, path)
@@ -406,7 +412,7 @@ def csv_sink_noheader(spark, folder):
 
 
 @query("csv_lossless_texts")
-def csv_lossless_texts(spark, folder):
+def csv_lossless_texts(spark: SparkSession, folder: str) -> DataFrame:
     documents = dealt_table(spark, folder, "documents")
     path = new_scratch(spark, "csv-lossless-texts")
     write_csv(documents, path, lossless=True, max_records_per_file=TEXTS_PER_FILE)
@@ -414,7 +420,7 @@ def csv_lossless_texts(spark, folder):
 
 
 @query("csv_lossless_timestamps")
-def csv_lossless_timestamps(spark, folder):
+def csv_lossless_timestamps(spark: SparkSession, folder: str) -> DataFrame:
     events = dealt_table(spark, folder, "events")
     path = new_scratch(spark, "csv-lossless-events")
     write_csv(events, path, header=True, lossless=True, max_records_per_file=ROWS_PER_FILE)
@@ -422,7 +428,7 @@ def csv_lossless_timestamps(spark, folder):
 
 
 @query("json_scan")
-def json_scan(spark, folder):
+def json_scan(spark: SparkSession, folder: str) -> DataFrame:
     return read_json(
         spark,
         json_copy(spark, folder, "documents"),
@@ -431,12 +437,12 @@ def json_scan(spark, folder):
 
 
 @query("json_scan_infer")
-def json_scan_infer(spark, folder):
+def json_scan_infer(spark: SparkSession, folder: str) -> DataFrame:
     return read_json(spark, json_copy(spark, folder, "documents")).select("doc_id", "lang")
 
 
 @query("json_project_csv")
-def json_project_csv(spark, folder):
+def json_project_csv(spark: SparkSession, folder: str) -> DataFrame:
     source = json_copy(spark, folder, "documents")
     target = new_scratch(spark, "json-to-csv")
     schema = "doc_id bigint, lang string"
@@ -445,7 +451,7 @@ def json_project_csv(spark, folder):
 
 
 @query("word_count_files")
-def word_count_files(spark, folder):
+def word_count_files(spark: SparkSession, folder: str) -> DataFrame:
     source = staged(
         spark,
         folder,
@@ -463,7 +469,7 @@ def word_count_files(spark, folder):
 
 
 @query("county_union")
-def county_union(spark, folder):
+def county_union(spark: SparkSession, folder: str) -> DataFrame:
     flat = counties.from_flat(
         read_csv(
             spark,
@@ -502,7 +508,7 @@ def county_union(spark, folder):
 
 
 @query("external_text_table")
-def external_text_table(spark, folder):
+def external_text_table(spark: SparkSession, folder: str) -> DataFrame:
     name = f"`{new_database(spark, 'external')}`.orders"
     orders = table(spark, folder, "orders")
     catalog.create_text_table(
@@ -515,7 +521,7 @@ def external_text_table(spark, folder):
 
 
 @query("external_text_table_char")
-def external_text_table_char(spark, folder):
+def external_text_table_char(spark: SparkSession, folder: str) -> DataFrame:
     name = f"`{new_database(spark, 'external_char')}`.customers"
     catalog.create_text_table(
         spark,
@@ -534,7 +540,7 @@ def external_text_table_char(spark, folder):
 
 
 @query("managed_table_insert")
-def managed_table_insert(spark, folder):
+def managed_table_insert(spark: SparkSession, folder: str) -> DataFrame:
     name = f"`{new_database(spark, 'staff')}`.employees"
     catalog.create_text_table(
         spark,
@@ -561,7 +567,7 @@ def managed_table_insert(spark, folder):
 
 
 @query("catalog_databases")
-def catalog_databases(spark, folder):
+def catalog_databases(spark: SparkSession, folder: str) -> DataFrame:
     """Create a database, make it current and read a table of it by its bare name."""
     database = new_database(spark, "current")
     catalog.create_file_table(
@@ -575,7 +581,7 @@ def catalog_databases(spark, folder):
 
 
 @query("catalog_tables")
-def catalog_tables(spark, folder):
+def catalog_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The tables a database lists, and the rows of each."""
     database = new_database(spark, "given")
     for name in GIVEN_TABLES:
@@ -594,7 +600,7 @@ def catalog_tables(spark, folder):
 
 
 @query("catalog_columns")
-def catalog_columns(spark, folder):
+def catalog_columns(spark: SparkSession, folder: str) -> DataFrame:
     """The columns the catalog lists for a table, and the values present in each."""
     name = f"`{new_database(spark, 'listed')}`.orders"
     catalog.create_file_table(spark, name, "parquet", table_path(folder, "orders"))
@@ -609,7 +615,7 @@ def catalog_columns(spark, folder):
 
 
 @query("catalog_storage")
-def catalog_storage(spark, folder):
+def catalog_storage(spark: SparkSession, folder: str) -> DataFrame:
     """The partitions the catalog lists for a partitioned table, and the rows of each."""
     name = f"`{new_database(spark, 'partitioned')}`.orders"
     table(spark, folder, "orders").write.partitionBy("o_orderstatus").format(
@@ -621,6 +627,6 @@ def catalog_storage(spark, folder):
 
 
 @query("schema_as_rows")
-def schema_as_rows(spark, folder):
+def schema_as_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The field tree that schema inference finds by reading all of a nested JSON file."""
     return schema_rows(read_json(spark, nested_events(spark, folder)))

@@ -5,7 +5,7 @@ from pyspark.errors import AnalysisException
 
 from tableloom import catalog
 from tableloom.sinks import insert_frame, insert_rows
-from tableloom.sources import rows_to_frame
+from tableloom.sources import CSV_LOSSLESS, rows_to_frame
 
 numbers = itertools.count()
 
@@ -97,6 +97,16 @@ def test_managed_table_insert(spark, database):
     assert (found[2].name, found[3].name, found[5].name) == ("Bo, Jr", None, "Di")
 
 
+def test_text_table_that_keeps_every_value(spark, database):
+    name = f"{database}.notes"
+    options = {**catalog.text_table_options(), **CSV_LOSSLESS}
+    catalog.create_text_table(spark, name, {"i": "INT", "s": "STRING"}, options=options)
+    notes = [(1, " a\nb "), (2, ""), (3, None), (4, 'say "hi", ok')]
+    insert_rows(spark, name, notes[:2])
+    insert_rows(spark, name, notes[2:])
+    assert rows(spark.table(name)) == notes
+
+
 def test_listings(spark, database):
     name = f"{database}.staff"
     catalog.create_text_table(spark, name, STAFF)
