@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 
 from tableloom import session
 from tableloom.plans import county_union, json_to_csv, phases, word_count
-from tableloom.sources import read_csv, read_json, read_lines
+from tableloom.sources import read_csv, read_json, read_lines, rows_to_frame
 
 
 def rows(df):
@@ -137,6 +137,25 @@ def test_phases(spark, tables):
         assert all(value >= 0 for value in seconds.values())
 
 
+def test_phases_command_line(spark, tmp_path, capsys):
+    (tmp_path / "rates.csv").write_text("County,Low Limit,High Limit\nA,1.5,2.5\nB,,4\n")
+    with mock.patch.object(phases, "open_session", return_value=spark):
+        phases.main(
+            [str(tmp_path / "rates.csv"), "--low", "Low Limit", "--high", "High Limit"]
+            + ["--mode", "full"]
+        )
+    lines = capsys.readouterr().out.splitlines()
+    assert [line.split()[1] for line in lines] == list(phases.PHASES)
+
+
+def test_enlarged_rows(spark):
+    limits = rows_to_frame(spark, [(1.0, 2.0), (None, 4.0)], "`Low Limit` double, `High` double")
+    result = phases.enlarge_and_derive(limits, "Low Limit", "High", 61, "col")
+    assert result.columns == ["lcl", "ucl", "avg", "lcl2", "ucl2"]
+    assert result.count() == 122
+    assert rows(result.distinct()) == [(1.0, 2.0, 1.5, 1.0, 2.0), (None, 4.0, None, None, 4.0)]
+
+
 def test_scratch_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert session.scratch_root(spark) == named
