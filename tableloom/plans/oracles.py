@@ -196,9 +196,9 @@ ORACLES: dict[str, str] = {
         SELECT 'NC_Durham_' || event_id, cast(event_id AS varchar), 'User ' || user_id,
                NULL, NULL, NULL, 'NC', NULL, NULL,
                strftime(ts, '%Y-%m-%d'), strftime(ts, '%Y-%m-%d'),
-               CASE WHEN event_id % 7 <> 0 THEN event_type END,
-               CASE WHEN event_id % 5 <> 0 THEN value END,
-               CASE WHEN event_id % 5 <> 0 THEN cast(user_id AS double) END,
+               CASE WHEN event_type <> 'click' THEN event_type END,
+               CASE WHEN event_type <> 'error' THEN value END,
+               CASE WHEN event_type <> 'error' THEN cast(user_id AS double) END,
                'Durham'
         FROM events
     """,

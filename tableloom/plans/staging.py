@@ -96,7 +96,7 @@ def json_copy(spark: SparkSession, folder: str, name: str) -> str:
 def nested_events(spark: SparkSession, folder: str) -> str:
     """The events as a nested register: JSON lines with one ``fields`` struct.
 
-    Every fifth event has no location, every seventh a type without a code.
+    Errors have no location, and the type of a click has no code before it.
     """
     events = dealt_table(spark, folder, "events")
     register = events.select(
@@ -108,11 +108,11 @@ def nested_events(spark: SparkSession, folder: str) -> str:
             F.lit("NC").alias("premise_state"),
             F.to_date("ts").alias("opening_date"),
             F.to_date("ts").alias("closing_date"),
-            F.when(F.col("event_id") % 7 == 0, F.col("event_type"))
+            F.when(F.col("event_type") == "click", F.col("event_type"))
             .otherwise(F.concat("user_id", F.lit(" - "), "event_type"))
             .alias("type_description"),
             F.when(
-                F.col("event_id") % 5 != 0,
+                F.col("event_type") != "error",
                 F.array("value", F.col("user_id").cast("double")),
             ).alias("geolocation"),
         ).alias("fields"),
