@@ -179,6 +179,7 @@ ORACLES: dict[str, str] = {
     "csv_lossless_texts": "SELECT * FROM documents",
     "csv_lossless_timestamps": "SELECT * FROM events",
     "json_scan": "SELECT * FROM documents",
+    "json_scan_timestamps": "SELECT * FROM events",
     "json_scan_infer": "SELECT doc_id, lang FROM documents",
     "json_project_csv": "SELECT doc_id, lang FROM documents",
     "word_count_files": _WORDS,

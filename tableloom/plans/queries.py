@@ -436,6 +436,13 @@ def json_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("json_scan_timestamps")
+def json_scan_timestamps(spark: SparkSession, folder: str) -> DataFrame:
+    return read_json(
+        spark, json_copy(spark, folder, "events"), schema=table(spark, folder, "events").schema
+    )
+
+
 @query("json_scan_infer")
 def json_scan_infer(spark: SparkSession, folder: str) -> DataFrame:
     return read_json(spark, json_copy(spark, folder, "documents")).select("doc_id", "lang")

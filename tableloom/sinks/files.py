@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from tableloom.sources.files import CSV_LOSSLESS
 
+# Spark's own format stops at milliseconds; its reader takes these as they are.
+JSON_TIMESTAMPS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 
 def write_csv(
     df: DataFrame,
@@ -33,8 +39,8 @@ def write_csv(
 
 
 def write_json(df: DataFrame, path: str, *, mode: str = "errorifexists", **options: str) -> None:
-    """Write JSON lines."""
-    df.write.options(**options).mode(mode).json(path)
+    """Write JSON lines, timestamps with microseconds."""
+    df.write.options(**{**JSON_TIMESTAMPS, **options}).mode(mode).json(path)
 
 
 def write_tab_separated(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:

@@ -12,10 +12,12 @@ from pyspark.sql.types import StructType
 # to be named, or the reader guesses it from the first break it meets, which may be
 # one inside a value; and the escape of the escape has to be named, or it is the NUL
 # character, which then disappears from values. NULL is written as U+0001, so a value
-# of exactly that one character is the only one that reads as NULL.
+# of exactly that one character is the only one that reads as NULL. Text that does not
+# fit its column's type is an error instead of NULL.
 CSV_LOSSLESS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
+    "mode": "FAILFAST",
     "multiLine": "true",
     "lineSep": "\n",
     "escape": '"',

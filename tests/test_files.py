@@ -141,6 +141,14 @@ def test_plain_csv_loses_what_it_is_known_to_lose(spark, tmp_path):
     ]
 
 
+def test_lossless_csv_does_not_turn_bad_text_into_null(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("1,2\nx,3\n")
+    path = str(tmp_path / "in.csv")
+    assert rows(read_csv(spark, path, schema="a int, b int")) == [(1, 2), (None, 3)]
+    with pytest.raises(Exception, match="MALFORMED_RECORD_IN_PARSING|FAILED_READ_FILE"):
+        read_csv(spark, path, schema="a int, b int", lossless=True).collect()
+
+
 awkward = st.text(
     alphabet=st.sampled_from(list("ab ,;#\"'\\\n\r\t\x00\x02\x0b\x85\u2028N|é😀")), max_size=10
 )
@@ -169,7 +177,16 @@ def test_json_inference_and_declared_schema(spark, tmp_path):
 
 
 def test_json_round_trip(spark, tmp_path):
-    frame = spark.sql("SELECT 1 AS n, named_struct('t', 'a\nb', 'l', array(1.5D)) AS s")
+    frame = spark.sql(
+        """
+        SELECT * FROM VALUES
+            (1, named_struct('t', 'a\n"b"\\ ', 'l', array(1.5D, NULL)),
+             timestamp_ntz'2024-01-02 03:04:05.678901', timestamp'1999-12-31 23:59:59.000001'),
+            (2, NULL, NULL, NULL),
+            (3, named_struct('t', '', 'l', array()), timestamp_ntz'0001-01-01 00:00:00', NULL)
+        AS rows(n, s, local, instant)
+        """
+    )
     target = str(tmp_path / "out")
     write_json(frame, target)
     assert rows(read_json(spark, target, schema=frame.schema)) == rows(frame)
