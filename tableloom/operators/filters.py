@@ -24,7 +24,8 @@ def where_in(df: DataFrame, column: str, keys: DataFrame, *, unique: bool = Fals
     values pile up in one task:
 
     - keys are made distinct, each task dropping its own repeats before the
-      shuffle; say ``unique`` for a key column that has none, to skip this;
+      shuffle; say ``unique`` for a key column that has none, to skip this (if it has
+      some after all, only time is lost);
     - rows and keys that are NULL, which match nothing, are dropped in the scan;
     - a frequent value of ``column`` is cut into several tasks by adaptive
       skew-join handling. It needs both shuffles right under the join, so the keys

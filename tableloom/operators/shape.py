@@ -23,9 +23,9 @@ def conform(
 ) -> DataFrame:
     """Bring a frame into an agreed shape, as one projection over the input.
 
-    In this order: rename columns (absent ones are skipped), add constant columns,
-    add derived columns (which see the new names), drop columns (absent ones are
-    skipped), then, with ``target``, keep exactly its columns in its order, cast to
+    In this order: rename columns (one after the other; absent ones are skipped), add
+    constant columns, add derived columns (which see the new names), drop columns
+    (absent ones are skipped), then, with ``target``, keep exactly its columns in its order, cast to
     its types, with typed NULLs for columns the input does not have. Frames
     conformed to one target can be united without any guessed type. A value that
     cannot be cast raises an error; derive it with ``try_cast`` to get NULL.

@@ -57,6 +57,11 @@ def test_conform_renames_adds_derives_and_drops(places):
     assert rows(result)[0] == (1, "Inn", "27601", "Wake", "Wake_1")
 
 
+def test_conform_renames_one_after_the_other(places):
+    result = conform(places, rename={"KEY": "id", "id": "number"})
+    assert result.columns == ["number", "NAME", "ZIP", "SCORE"]
+
+
 def test_conform_to_target_orders_casts_and_fills(places):
     target = StructType([StructField("closed", StringType()), StructField("KEY", StringType())])
     result = conform(places, target=target)
