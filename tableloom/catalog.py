@@ -16,9 +16,10 @@ from tableloom.sources import rows_to_frame
 # Quotes protect commas, and the first line of each file names the columns.
 QUOTED_WITH_HEADER = {"header": "true"}
 
-# Every comma separates, a header line is a row like any other, and text that does
-# not fit the column's type reads as NULL.
-PLAIN_DELIMITED = {"header": "false", "quote": "", "mode": "PERMISSIVE"}
+# Every comma separates, a header line is a row like any other, missing values and
+# text that does not fit the column's type read as NULL, and so does the NULL mark of
+# delimited text tables, \N. An empty value is NULL too, in string columns as well.
+PLAIN_DELIMITED = {"header": "false", "quote": "", "mode": "PERMISSIVE", "nullValue": "\\N"}
 
 
 def text_table_options(

@@ -68,6 +68,27 @@ def test_plain_delimited_table_takes_every_comma_and_the_header_line(spark, data
     assert shifted.ID is None
 
 
+def test_plain_delimited_table_with_missing_and_extra_values(spark, database, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.csv").write_text('1,a,5\n2,\\N,\\N\n3,"b\n4,c,7,8,9\nx,d,y\n5,,\n6, e ,1\n')
+    catalog.create_text_table(
+        spark,
+        f"{database}.loose",
+        {"i": "INT", "s": "STRING", "n": "INT"},
+        location=str(tmp_path / "in"),
+        options=catalog.text_table_options(header=False, quoted=False),
+    )
+    assert rows(spark.table(f"{database}.loose")) == [
+        (1, "a", 5),
+        (2, None, None),
+        (3, '"b', None),
+        (4, "c", 7),
+        (5, None, None),
+        (6, " e ", 1),
+        (None, "d", None),
+    ]
+
+
 def test_dropping_an_external_table_leaves_its_files(spark, database, shops):
     catalog.create_text_table(spark, f"{database}.shops", SHOP_COLUMNS, location=shops)
     spark.sql(f"DROP TABLE {database}.shops")
