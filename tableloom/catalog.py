@@ -62,7 +62,7 @@ def tables(spark: SparkSession, database: str) -> DataFrame:
 
 
 def columns(spark: SparkSession, table: str) -> DataFrame:
-    """One row per column: ``position, column, type, nullable, is_partition, is_bucket``."""
+    """One row per column: ``position, column_name, type, nullable, is_partition, is_bucket``."""
     rows = [
         (i, c.name, c.dataType, c.nullable, c.isPartition, c.isBucket)
         for i, c in enumerate(spark.catalog.listColumns(table))
@@ -70,7 +70,7 @@ def columns(spark: SparkSession, table: str) -> DataFrame:
     return rows_to_frame(
         spark,
         rows,
-        "position int, column string, type string, "
+        "position int, column_name string, type string, "
         "nullable boolean, is_partition boolean, is_bucket boolean",
     )
 

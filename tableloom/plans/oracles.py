@@ -224,12 +224,12 @@ ORACLES: dict[str, str] = {
         f"SELECT '{name}' AS table_name, count(*) AS n FROM {name}" for name in _GIVEN_TABLES
     ),
     "catalog_columns": " UNION ALL ".join(
-        f"SELECT {i} AS position, '{name}' AS \"column\", '{kind}' AS type, count({name}) AS n"
+        f"SELECT {i} AS position, '{name}' AS column_name, '{kind}' AS type, count({name}) AS n"
         " FROM orders"
         for i, (name, kind) in enumerate(_ORDER_COLUMNS.items())
     ),
     "catalog_storage": """
-        SELECT 'o_orderstatus=' || o_orderstatus AS partition, count(*) AS n
+        SELECT 'o_orderstatus=' || o_orderstatus AS partition_spec, count(*) AS n
         FROM orders GROUP BY o_orderstatus
     """,
     "schema_as_rows": "SELECT * FROM (VALUES "

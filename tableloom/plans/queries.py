@@ -616,9 +616,9 @@ def catalog_columns(spark: SparkSession, folder: str) -> DataFrame:
     present = (
         spark.table(name)
         .agg(*(F.count(column).alias(column) for column in names))
-        .unpivot([], names, "column", "n")
+        .unpivot([], names, "column_name", "n")
     )
-    return listed.join(present, "column").select("position", "column", "type", "n")
+    return listed.join(present, "column_name").select("position", "column_name", "type", "n")
 
 
 @query("catalog_storage")
@@ -628,9 +628,11 @@ def catalog_storage(spark: SparkSession, folder: str) -> DataFrame:
     table(spark, folder, "orders").write.partitionBy("o_orderstatus").format(
         "parquet"
     ).saveAsTable(name)
+    spec = F.concat(F.lit("o_orderstatus="), "o_orderstatus").alias("partition_spec")
     rows = spark.table(name).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    keyed = rows.select(F.concat(F.lit("o_orderstatus="), "o_orderstatus").alias("partition"), "n")
-    return catalog.partitions(spark, name).join(keyed, "partition")
+    keyed = rows.select(spec, "n")
+    listed = catalog.partitions(spark, name).withColumnRenamed("partition", "partition_spec")
+    return listed.join(keyed, "partition_spec")
 
 
 @query("schema_as_rows")

@@ -149,9 +149,9 @@ def test_partitions_and_buckets(spark, database):
     frame.write.partitionBy("kind").saveAsTable(f"{database}.parted")
     frame.write.bucketBy(4, "n").saveAsTable(f"{database}.bucketed")
     assert rows(catalog.partitions(spark, f"{database}.parted")) == [("kind=a",), ("kind=b",)]
-    flags = {row.column: row for row in catalog.columns(spark, f"{database}.parted").collect()}
+    flags = {row.column_name: row for row in catalog.columns(spark, f"{database}.parted").collect()}
     assert flags["kind"].is_partition and not flags["n"].is_partition
-    flags = {row.column: row for row in catalog.columns(spark, f"{database}.bucketed").collect()}
+    flags = {row.column_name: row for row in catalog.columns(spark, f"{database}.bucketed").collect()}
     assert flags["n"].is_bucket
     details = {
         row.col_name: row.data_type
