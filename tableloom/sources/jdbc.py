@@ -62,9 +62,8 @@ def frequent_keys(
         " frequent_keys",
         properties,
     )
-    return {
-        int(row["k"]): math.ceil(row["n"] * parts / row["total"]) for row in counted.collect()
-    }
+    # By position: databases differ in the case of the names they give back.
+    return {int(key): math.ceil(n * parts / total) for key, n, total in counted.collect()}
 
 
 def read_jdbc_by_key(
@@ -143,9 +142,8 @@ def key_range_predicates(
         limits += [f"{column} NOT IN ({', '.join(map(str, hot_keys))})"] if hot_keys else []
         ranges.append(" AND ".join(limits))
     ranges[0] = f"({ranges[0]}) OR {column} IS NULL"
-    remainder = f"COALESCE(ABS(MOD({spread_column}, {{ways}})), 0)"
     hot = [
-        f"{column} = {key} AND {remainder.format(ways=ways)} = {way}"
+        f"{column} = {key} AND COALESCE(ABS({spread_column} % {ways}), 0) = {way}"
         for key, ways in hot_keys.items()
         for way in range(ways)
     ]
