@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tableloom import catalog
 from tableloom.operators import spread
-from tableloom.session import input_bytes, new_scratch, size_shuffles
+from tableloom.session import cut_hot_partitions, input_bytes, new_scratch, size_shuffles
 from tableloom.sinks import write_csv, write_json
 
 # Files with line breaks inside values are read by one task each: keep them moderate.
@@ -50,7 +50,8 @@ def dealt_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shuffled_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table that a join or count will shuffle: makes room for its size."""
+    """A given table that a join will shuffle: makes room for its size and for hot keys."""
+    cut_hot_partitions(spark)
     size_shuffles(spark, table_path(folder, name))
     return table(spark, folder, name)
 

@@ -18,13 +18,21 @@ DEFAULTS = {
     "spark.sql.ansi.enabled": "true",
 }
 
+# A join partition is cut into several tasks above this size, if it is also this many
+# times the median; Spark's own settings wait for 256 MB and 5 times.
+HOT_PARTITIONS = {
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2.0",
+}
+SPARK_HOT_PARTITIONS = ("256MB", "268435456b", "5.0")
+
 MOST_PARTITIONS = 20_000
 
 
 def open_session(app_name: str = "tableloom", conf: dict[str, str] | None = None) -> SparkSession:
-    """Get or create a session with ``DEFAULTS`` overlaid by ``conf``."""
+    """Get or create a session with the defaults above, overlaid by ``conf``."""
     builder = SparkSession.builder.appName(app_name)
-    for key, value in {**DEFAULTS, **(conf or {})}.items():
+    for key, value in {**DEFAULTS, **HOT_PARTITIONS, **(conf or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -98,3 +106,13 @@ def size_shuffles(spark: SparkSession, path: str, bytes_each: int = 128 * 1024 *
     if count > configured:
         spark.conf.set("spark.sql.shuffle.partitions", str(count))
     return count
+
+
+def cut_hot_partitions(spark: SparkSession) -> None:
+    """Put ``HOT_PARTITIONS`` in place of Spark's own values in a session made elsewhere.
+
+    Values the session's owner chose are left alone.
+    """
+    for key, value in HOT_PARTITIONS.items():
+        if spark.conf.get(key) in SPARK_HOT_PARTITIONS:
+            spark.conf.set(key, value)

@@ -172,6 +172,15 @@ def test_scratch_folder_is_never_machine_local_on_a_cluster():
         session.scratch_root(cluster)
 
 
+def test_hot_partition_settings_respect_the_owner(spark, settings):
+    threshold, factor = session.HOT_PARTITIONS
+    names = [name.removeprefix("spark.sql.").replace(".", "__") for name in (threshold, factor)]
+    settings(**{names[0]: "256MB", names[1]: "7.0"})
+    session.cut_hot_partitions(spark)
+    assert spark.conf.get(threshold) == "64MB"
+    assert spark.conf.get(factor) == "7.0"
+
+
 def test_object_store_settings():
     conf = session.object_store_conf("http://store:9000", "key", "secret", ssl=False)
     assert all(name.startswith("spark.hadoop.fs.s3a.") for name in conf)
