@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableloom.llm.common import table
+from tableloom.llm.mixing import mix
+from tableloom.llm.quality_rules import judge
 from tableloom.llm.simhash import near_duplicates
 from tableloom.llm.token_counts import token_counts
 
@@ -24,6 +26,32 @@ def op2_token_counts(spark: SparkSession, folder: str, tokenizer: str = TOKENIZE
     )
 
 
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of every document, and whether a learned decision list keeps it."""
+    judged = judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.col("rule_text").alias("rule"),
+    )
+
+
+def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of every document a mix of the sources takes."""
+    mixed = mix(
+        table(spark, folder, "documents"), weights=(5, 2, 1), percent=150, most_repeats=2
+    )
+    return mixed.select(
+        F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken"
+    )
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, folder, "documents"), shingle_words=3, max_bits=2)
@@ -36,6 +64,8 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_source_mix": op4_source_mix,
     "op7_simhash": op7_simhash,
 }
 
