@@ -285,14 +285,15 @@ def judge(
     """(id, counts, base_failed, rule, rule_text, kept) per row of ``docs``.
 
     ``base_failed``: fewer than ``least_words`` words, or over ``most_repeat_percent`` of
-    the words in repeated windows. ``kept``: neither that nor a learned rule met. NULL,
+    the words in repeated windows. ``kept``: neither that nor a learned rule met; the list
+    is learned from the labelled rows that did not fail. NULL,
     empty and blank texts have no words and fail. Repeated rows are judged alike; other
     columns are not read; an empty table gives an empty one.
     """
     counts = text_statistics(docs, id_col=id_col, text_col=text_col)
-    rules = fit(counts, labels, label_col=label_col, most_rows=most_rows)
     failed = (F.col("n_words") < least_words) | (
         100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words")
     )
+    rules = fit(counts.where(~failed), labels, label_col=label_col, most_rows=most_rows)
     judged = apply_rules(counts, rules).withColumn("base_failed", failed)
     return judged.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
