@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm.common import table
+from tableloom.llm import quality_neighbours, toxicity, url_rules
+from tableloom.llm.common import fold_of, table
 from tableloom.llm.mixing import mix
 from tableloom.llm.quality_rules import judge
 from tableloom.llm.simhash import near_duplicates
@@ -52,6 +53,40 @@ def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _scored(scores: DataFrame, least: float) -> DataFrame:
+    return scores.select(
+        F.col("id").alias("doc_id"),
+        (fold_of(F.col("id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= least).cast("int").alias("predicted"),
+    )
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document."""
+    return _scored(
+        toxicity.score_texts(table(spark, folder, "documents"), table(spark, folder, "labels")),
+        0.5,
+    )
+
+
+# Rules kept by hand: verdict, host, path.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on the URL of every page."""
+    return url_rules.judge(table(spark, folder, "pages"), URL_RULES).withColumnRenamed(
+        "id", "page_id"
+    )
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(table(spark, folder, "documents"), shingle_words=3, max_bits=2)
@@ -62,11 +97,24 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document."""
+    return _scored(
+        quality_neighbours.score_texts(
+            table(spark, folder, "documents"), table(spark, folder, "labels")
+        ),
+        0.3,
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_source_mix": op4_source_mix,
+    "op5_toxicity": op5_toxicity,
+    "op6_url_rules": op6_url_rules,
     "op7_simhash": op7_simhash,
+    "op8_quality_neighbours": op8_quality_neighbours,
 }
 
 ORACLES: dict[str, str] = {}
