@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableloom.llm import quality_neighbours, toxicity, url_rules
+from tableloom.llm import quality_neighbours, suffix_tree, toxicity, url_rules
 from tableloom.llm.common import fold_of, table
+from tableloom.llm.decontamination import contaminated
+from tableloom.llm.line_dedup import dedup_lines
 from tableloom.llm.mixing import mix
 from tableloom.llm.quality_rules import judge
 from tableloom.llm.simhash import near_duplicates
@@ -18,6 +20,12 @@ from tableloom.llm.token_counts import token_counts
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark items found in documents: a row per document and item."""
+    found = contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "distance", "start", "stop")
+
+
 def op2_token_counts(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """Bytes and tokens of every document."""
     with open(tokenizer, encoding="utf-8") as file:  # a file of the driver, sent along
@@ -107,7 +115,21 @@ def op8_quality_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under a suffix tree of the training fold."""
+    return suffix_tree.score_texts(table(spark, folder, "documents")).withColumnRenamed(
+        "id", "doc_id"
+    )
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that another one, or an earlier line, has."""
+    left = dedup_lines(table(spark, folder, "documents"))
+    return left.select("doc_id", "text", "n_lines", "dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
     "op4_source_mix": op4_source_mix,
@@ -115,6 +137,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_rules": op6_url_rules,
     "op7_simhash": op7_simhash,
     "op8_quality_neighbours": op8_quality_neighbours,
+    "op9_suffix_tree": op9_suffix_tree,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableloom.llm.common import components, written
+from tableloom.llm.common import components, free_name, sent_if_small, written
 
 SEED = 42
 SHELLS = 4  # children of a tree node
@@ -55,18 +55,22 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
 def fingerprints(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3
 ) -> DataFrame:
-    """(id, fp) per row, fp as a signed 64-bit number."""
+    """(id, uid, fp) per row: fp as a signed 64-bit number, uid a hash of id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [fingerprint(t.as_py(), shingle_words) for t in batch.column(1)]
+            marks = [fingerprint(t.as_py(), shingle_words) for t in batch.column(2)]
+            marks = pa.array(np.array(marks, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(marks, np.uint64).view(np.int64))],
-                names=["id", "fp"],
+                [batch.column(0), batch.column(1), marks], names=["id", "uid", "fp"]
             )
 
-    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return pairs.mapInArrow(run, "id long, fp long")
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.xxhash64(id_col, text_col).alias("uid"),
+        F.col(text_col).alias("text"),
+    )
+    return texts.mapInArrow(run, "id long, uid long, fp long")
 
 
 class Tree:
@@ -217,7 +221,7 @@ def near_duplicates(
     shingle_words: int = 3,
     max_bits: int = 2,
 ) -> DataFrame:
-    """(id, fp, root, component) per row of ``docs``.
+    """(id, uid, fp, root, component) per row of ``docs``.
 
     Two rows are linked if their fingerprints differ in at most ``max_bits`` bits;
     ``root`` is the least fingerprint reachable (signed), ``component`` the smallest id.
@@ -238,4 +242,42 @@ def near_duplicates(
     )
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     classes = rooted.select("fp", "root").join(least, "root")
-    return own.join(classes, "fp").select("id", "fp", "root", "component")
+    return own.join(classes, "fp").select("id", "uid", "fp", "root", "component")
+
+
+def one_of_each(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = 3,
+    max_bits: int = 2,
+) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates: that of the smallest id.
+
+    NULL ids come last; between equal ids the hash of id and text decides; of rows alike
+    in id and text one stays. All columns stay as they are.
+    """
+    found = near_duplicates(
+        docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, max_bits=max_bits
+    )
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")
+    found = written(found.select("uid", "root", place.alias("place")), "near-duplicates")
+    first = found.groupBy("root").agg(F.min("place").alias("first"))
+    placed = found.join(first, "root")
+    stays = F.col("place").eqNullSafe(F.col("first"))
+    gone = written(placed.where(~stays).select(F.col("uid").alias("gone")).distinct(), "gone")
+    often = written(
+        placed.where(stays).groupBy(F.col("uid").alias("often")).count().where("count > 1"),
+        "repeated-rows",
+    ).drop("count")
+    uid = free_name(docs, "uid")
+    marked = docs.withColumn(uid, F.xxhash64(id_col, text_col))
+    left = marked.join(sent_if_small(gone, 24), F.col(uid) == F.col("gone"), "left_anti")
+    rows = often.count()
+    if rows:
+        often = sent_if_small(often, 24, rows)
+        same = F.col(uid) == F.col("often")
+        once = left.join(often, same, "left_semi").dropDuplicates([uid])
+        left = left.join(often, same, "left_anti").unionByName(once)
+    return left.select(*docs.columns)

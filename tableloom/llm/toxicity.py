@@ -16,8 +16,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableloom.llm.common import fold_of, written
@@ -275,6 +276,39 @@ def sample(
     return written(found, "labelled-sample"), total[1] / total[0] if total[0] else 0.5
 
 
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    rows_per_class: int = ROWS_PER_CLASS,
+) -> Model:
+    """A model learned from at most ``rows_per_class`` labelled rows of each class."""
+    found, share = sample(
+        docs,
+        labels,
+        id_col=id_col,
+        text_col=text_col,
+        label_col=label_col,
+        rows_per_class=rows_per_class,
+    )
+    size = found.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
+    words = lexicon(found, size[1], size[0] - size[1])
+    return train(words, *read_votes(found, words), share)
+
+
+def score(model: Model, text: Column) -> Column:
+    """The model's score of a text, from 0 to 1."""
+
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        return texts.map(model.score)
+
+    return scores(text)
+
+
 def score_texts(
     docs: DataFrame,
     labels: DataFrame,
@@ -292,7 +326,7 @@ def score_texts(
     scores are near 0 (or near 1 if all are toxic). Repeated rows score alike; an empty
     table gives an empty one. A term counts once however long the text is.
     """
-    found, share = sample(
+    model = fit(
         docs,
         labels,
         id_col=id_col,
@@ -300,16 +334,17 @@ def score_texts(
         label_col=label_col,
         rows_per_class=rows_per_class,
     )
-    size = found.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
-    words = lexicon(found, size[1], size[0] - size[1])
-    model = train(words, *read_votes(found, words), share)
+    return docs.select(
+        F.col(id_col).cast("long").alias("id"), score(model, F.col(text_col)).alias("score")
+    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [model.score(text.as_py()) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"]
-            )
 
-    pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return pairs.mapInArrow(run, "id long, score double")
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, *, text_col: str = "text", reject: float = 0.5, **names
+) -> DataFrame:
+    """``docs`` without the rows that score ``reject`` or more; all columns stay.
+
+    ``names`` are the other parameters of ``fit``.
+    """
+    model = fit(docs, labels, text_col=text_col, **names)
+    return docs.where(score(model, F.col(text_col)) < reject)
