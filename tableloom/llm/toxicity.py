@@ -184,14 +184,15 @@ def read_votes(found: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            read = [terms(text.as_py()) for text in batch.column(0)]
+            places, measured = [], []
+            for text in batch.column(0):  # one text's terms at a time are held
+                has, ways = terms(text.as_py())
+                places.append(sorted(at[t] for t in has if t in at))
+                measured.append(ways)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(
-                        [sorted(at[t] for t in f if t in at) for f, _ in read],
-                        pa.list_(pa.int32()),
-                    ),
-                    pa.array([ways for _, ways in read], pa.list_(pa.float64())),
+                    pa.array(places, pa.list_(pa.int32())),
+                    pa.array(measured, pa.list_(pa.float64())),
                     batch.column(1),
                 ],
                 names=["places", "ways", "label"],
