@@ -1,0 +1,112 @@
+"""Mixing: targets and seats against plain versions, and what a mix must keep to."""
+
+import re
+
+import numpy as np
+from tableloom.llm import mixing, queries
+
+from .conftest import ODD
+
+
+def plain_targets(sizes, weights=(5, 2, 1), percent=150, most=2):
+    """Shares by weight, again and again, until no target is above its limit."""
+    names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode())
+    names += [None] if None in sizes else []
+    weight = {n: weights[i % len(weights)] for i, n in enumerate(names)}
+    total, capped = sum(sizes.values()) * percent / 100, set()
+    while True:
+        free = [n for n in names if n not in capped]
+        rest = total - sum(most * sizes[n] for n in capped)
+        share = {n: rest * weight[n] / sum(weight[m] for m in free) for n in free}
+        over = {n for n in free if share[n] > most * sizes[n]}
+        if not over:
+            return {n: share.get(n, most * sizes[n]) for n in names}
+        capped |= over
+
+
+def plain_seats(claims, most, seats):
+    won = [0] * len(claims)
+    for _ in range(min(seats, int(sum(most)))):
+        open_ones = [i for i in range(len(claims)) if won[i] < most[i]]
+        best = max(open_ones, key=lambda i: (claims[i] / (2 * won[i] + 1), -i))
+        won[best] += 1
+    return won
+
+
+def test_seats_go_to_the_highest_quotients():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        claims = rng.random(rng.integers(1, 12)) * 20
+        most = rng.integers(0, 30, len(claims))
+        seats = int(rng.integers(0, 80))
+        assert mixing.sainte_lague(claims, most, seats).tolist() == plain_seats(claims, most, seats)
+
+
+def check(rows, docs):
+    words = {}
+    for r in docs:
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        words[r["source"]] = words.get(r["source"], 0) + n
+    expected = plain_targets(words)
+    taken = {}
+    for r in rows:
+        assert abs(r["target"] - expected[r["source"]]) < 1e-6 * max(1, expected[r["source"]])
+        assert r["source_size"] == words[r["source"]]
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+    for source, n in taken.items():
+        assert abs(n - expected[source]) <= mixing.BLOCK_TOKENS + 0.002 * expected[source]
+
+
+def test_query_meets_its_targets_and_repeats(spark, tables):
+    rows = queries.op4_source_mix(spark, tables).orderBy("doc_id").collect()
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    check(rows, docs.collect())
+    assert len(rows) == docs.count()
+    again = queries.op4_source_mix(spark, tables).orderBy("doc_id").collect()
+    assert rows == again
+
+
+def test_order_and_partitions_do_not_matter(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    one = mixing.mix(docs).orderBy("id").collect()
+    two = mixing.mix(docs.orderBy("n_chars").repartition(5)).orderBy("id").collect()
+    assert one == two
+
+
+def test_shards_and_levels(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(mixing, "FAN_OUT", 4)
+    docs = documents(
+        [(i, "w " * (20 + i % 90), "big" if i % 5 else f"s{i % 3}") for i in range(400)]
+    )
+    rows = mixing.mix(docs).collect()
+    assert abs(sum(r["taken"] for r in rows) - 1.5 * sum(r["size"] for r in rows)) < 400
+    by_source = {}
+    for r in rows:
+        got = by_source.setdefault(r["source"], [0, r["target"]])
+        got[0] += r["taken"]
+    for taken, target in by_source.values():
+        assert abs(taken - target) < 0.05 * target + 64
+
+
+def test_pieces_are_what_is_taken(spark, tables):
+    for r in mixing.mix(spark.read.parquet(f"{tables}/documents.parquet")).collect():
+        assert sum((p["stop"] - p["start"]) * p["times"] for p in r["pieces"]) == r["taken"]
+        ends = [0] + [x for p in r["pieces"] for x in (p["start"], p["stop"])]
+        assert ends == sorted(ends) and ends[-1] <= r["size"]
+
+
+def test_odd_rows(documents):
+    rows = [(i, t, None if i % 2 else "é") for i, t in enumerate(ODD)]
+    rows += [(3, "word", "a"), (3, "word", "a"), (None, "some words", "a"), (8, "", "empty")]
+    docs = documents(rows, extra="mark size shard key")
+    found = mixing.mix(docs).collect()
+    assert len(found) == len(rows)
+    assert all(r["taken"] == 0 for r in found if r["size"] == 0)
+    check(found, docs.collect())
+
+
+def test_empty_tables(documents):
+    assert mixing.mix(documents([])).collect() == []
+    assert mixing.mix(documents([(1, None), (2, "")])).count() == 2

@@ -1,0 +1,91 @@
+"""The pipeline: stages chained, each against what its operator decides."""
+
+import re
+
+import pytest
+from tableloom.llm import decontamination as d
+from tableloom.llm import simhash
+
+import corpus_pipeline
+
+from .conftest import ODD
+from .test_line_dedup import plain_dedup
+
+
+@pytest.fixture(scope="module")
+def steps(spark, tables):
+    """What goes into and comes out of each stage, as rows."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = corpus_pipeline.written(stage(spark, docs, tables), f"test-{name}")
+        out[name] = (docs, after)
+        docs = after
+    return out
+
+
+def test_stages_keep_the_columns(steps, spark, tables):
+    columns = spark.read.parquet(f"{tables}/documents.parquet").columns
+    names = list(steps)
+    assert names == ["toxicity", "line_dedup", "near_duplicates", "decontamination", "mixing"]
+    for name in names[:-1]:
+        assert steps[name][1].columns == columns
+
+
+def test_toxic_documents_go(steps, spark, tables):
+    before, after = (df.select("doc_id").toPandas()["doc_id"] for df in steps["toxicity"])
+    labels = spark.read.parquet(f"{tables}/labels.parquet").toPandas().set_index("doc_id")["toxic"]
+    gone = set(before) - set(after)
+    known = [labels[i] for i in gone if i in labels.index]
+    assert gone and set(after) < set(before)
+    assert sum(known) >= 0.8 * len(known)
+
+
+def test_lines_are_left_once(steps):
+    before, after = (df.orderBy("doc_id").collect() for df in steps["line_dedup"])
+    expected = dict(plain_dedup([(r["doc_id"], r["text"]) for r in before]))
+    differ = [r for r in after if r["text"] != expected[r["doc_id"]]]
+    assert len(after) == len(before) and len(differ) <= 0.01 * len(before)
+    assert all(r["n_chars"] == len(r["text"]) for r in after)
+
+
+def test_one_near_duplicate_stays(steps):
+    before, after = (df.collect() for df in steps["near_duplicates"])
+    marks = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in before}
+    kept = {r["doc_id"] for r in after}
+    for i in kept:
+        assert not any(j != i and bin(marks[i] ^ marks[j]).count("1") <= 2 for j in kept)
+    for i in set(marks) - kept:
+        assert any(j < i and bin(marks[i] ^ m).count("1") <= 2 for j, m in marks.items())
+
+
+def test_no_benchmark_item_is_left(steps, spark, tables):
+    before, after = (df.collect() for df in steps["decontamination"])
+    items = [d.normalised(r["text"]) for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect()]
+    for r in after:
+        assert not any(item in d.normalised(r["text"]) for item in items)
+    for r in {r["doc_id"]: r for r in before if r["doc_id"] not in {a["doc_id"] for a in after}}.values():
+        text = d.normalised(r["text"])
+        assert any(d.edit_end(item, text, int(0.2 * len(item))) for item in items)
+
+
+def test_the_mix_is_of_what_is_left(steps):
+    before, after = steps["mixing"]
+    rows = after.collect()
+    assert len(rows) == before.count()
+    words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in before.collect())
+    assert abs(sum(r["taken"] for r in rows) - 1.5 * words) <= 0.01 * words + 64
+
+
+def test_run_equals_the_stages(steps, spark, tables):
+    wanted = sorted(map(str, steps["mixing"][1].collect()))
+    assert sorted(map(str, corpus_pipeline.run(spark, tables).collect())) == wanted
+
+
+@pytest.mark.parametrize("rows", [[], [(i, t, None) for i, t in enumerate(ODD)] + [(None, "word", "s"), (3, "word", "s"), (3, "word", "s")]])
+def test_stages_take_odd_rows(spark, tables, documents, rows):
+    for name, stage in corpus_pipeline.STAGES:
+        docs = documents(rows, extra="uid gone score size")
+        after = stage(spark, docs, tables)
+        assert after.count() <= len(rows)
+        assert name == "mixing" or after.columns == docs.columns

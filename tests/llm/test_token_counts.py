@@ -1,0 +1,69 @@
+"""Token counts against the library itself."""
+
+import json
+import random
+
+import public_tokenizers
+import pytest
+from tableloom.llm import queries, token_counts
+from tokenizers import Tokenizer
+
+from .conftest import ODD
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def definition():
+    with open(PATH, encoding="utf-8") as file:
+        return file.read()
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def test_query_equals_library(spark, tables, library):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    rows = queries.op2_token_counts(spark, tables).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        assert r["n_tokens"] == len(library.encode(text, add_special_tokens=False).ids)
+        assert r["n_bytes"] == len(text.encode())
+        assert r["over_limit"] == (r["n_tokens"] > 512)
+
+
+def test_random_texts_equal_library(definition, library):
+    rng = random.Random(2)
+    letters = "ab'strevlmd  \n\t 　\u0085é中🙂1٣.,!-_\x1c​́ǅⅷ" + "'" * 3 + " " * 4
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(4000)]
+    texts += ["<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endoftext|>", " 're 'll'x'rex", "a" * 3000]
+    texts += [" " * 700 + "x", "中文" * 500, "\n\n\n a", "\n\n", " \n", "l'l'll'", "'r", "'v e", "'"]
+    counted = token_counts.Tokens(json.loads(definition)).counts(texts)
+    assert counted == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_small_chunks_and_restarts_change_nothing(definition, library, monkeypatch):
+    monkeypatch.setattr(token_counts, "CHUNK", 3)
+    monkeypatch.setattr(token_counts, "GROUP", 50)
+    monkeypatch.setattr(token_counts, "MOST_STATES", 20)
+    monkeypatch.setattr(token_counts, "MOST_PIECES", 5)
+    texts = ["The quick brown fox's tail,  it'll  jump\n\nover 123 lazy dogs " * 4, "", "x"]
+    counted = token_counts.Tokens(json.loads(definition)).counts(texts)
+    assert counted == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_odd_rows(documents, definition, library):
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(3, "word"), (None, "word")]
+    found = token_counts.token_counts(documents(rows, extra="id n_tokens_"), definition).collect()
+    assert len(found) == len(rows)
+    expected = sorted(len(library.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
+    assert sorted(r["n_tokens"] for r in found) == expected
+    assert token_counts.token_counts(documents([]), definition).collect() == []
+
+
+def test_other_kinds_of_vocabulary_are_refused():
+    with pytest.raises(ValueError):
+        token_counts.Tokens({"model": {"type": "WordPiece"}, "pre_tokenizer": {"type": "ByteLevel"}})
