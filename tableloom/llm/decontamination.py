@@ -128,6 +128,64 @@ def edit_end(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return best if best[0] <= most else None
 
 
+def letter_classes(text: str) -> np.ndarray:
+    """The letters of a text in 128 classes; a letter of ASCII is a class of its own."""
+    return (np.frombuffer(text.encode("utf-32-le"), "<u4") & 127).astype(np.intp)
+
+
+class Sieve:
+    """Tells which of many (pattern, text) pairs may be within some edits, all at once.
+
+    The columns of ``edit_end`` in words of 64 bits, for thousands of pairs per step. Letters
+    of a class count as equal, so a distance may come out too small, never too large.
+    """
+
+    def __init__(self, patterns: list[str]):
+        self.sizes = np.array([len(p) for p in patterns], np.int64)
+        self.words = int(-(-self.sizes.max(initial=1) // 64))
+        self.where = np.zeros((len(patterns), 129, self.words), np.uint64)
+        for i, pattern in enumerate(patterns):
+            for place, letter in enumerate(letter_classes(pattern)):
+                self.where[i, letter, place // 64] |= np.uint64(1 << place % 64)
+
+    def passes(self, owners: np.ndarray, texts: list[str], most: np.ndarray) -> np.ndarray:
+        """Whether ``texts[i]`` may hold pattern ``owners[i]`` with ``most[i]`` edits."""
+        out = np.zeros(len(texts), bool)
+        for start in range(0, len(texts), 2048):
+            part = slice(start, start + 2048)
+            out[part] = self._least(owners[part], texts[part]) <= most[part]
+        return out
+
+    def _least(self, owners: np.ndarray, texts: list[str]) -> np.ndarray:
+        one, high = np.uint64(1), np.uint64(63)
+        letters = np.full((max(map(len, texts), default=0), len(texts)), 128, np.intp)
+        for i, text in enumerate(texts):  # beyond a text's end nothing is equal
+            letters[: len(text), i] = letter_classes(text)
+        sizes = self.sizes[owners]
+        top = np.zeros((self.words, len(texts)), np.uint64)
+        top[(sizes - 1) // 64, np.arange(len(texts))] = one << ((sizes - 1) % 64).astype(np.uint64)
+        up = np.full((self.words, len(texts)), ~np.uint64(0))
+        down = np.zeros((self.words, len(texts)), np.uint64)
+        score, least = sizes.copy(), sizes.copy()
+        for row in letters:
+            equals = self.where[owners, row]
+            more = less = np.zeros(len(texts), np.uint64)  # carried from word to word
+            for w in range(self.words):
+                equal, p, m = equals[:, w], up[w], down[w]
+                across = equal | m
+                equal = equal | less
+                along = (((equal & p) + p) ^ p) | equal
+                plus, minus = m | ~(along | p), p & along
+                score += ((plus & top[w]) != 0).astype(np.int64)
+                score -= ((minus & top[w]) != 0).astype(np.int64)
+                plus_out, minus_out = plus >> high, minus >> high
+                plus, minus = plus << one | more, minus << one | less
+                up[w], down[w] = minus | ~(across | plus), plus & across
+                more, less = plus_out, minus_out
+            np.minimum(least, score, out=least)
+        return least
+
+
 @dataclass
 class Items:
     """Benchmark items of one class of lengths, ready to be looked for."""
@@ -140,6 +198,7 @@ class Items:
     keys: list[np.ndarray]  # per walk: sorted hashes, each with item and offset
     owners: list[np.ndarray]
     offsets: list[np.ndarray]
+    sieve: Sieve
 
     @classmethod
     def build(cls, ids, texts, steps: int, design_rate: float, recall: float) -> Items:
@@ -148,7 +207,8 @@ class Items:
         octets, starts, owners, offsets = _laid(raw, steps)
         count = walks_needed(texts, steps, design_rate, recall, rng)
         walks = [Walk.draw(rng, steps) for _ in range(count)]
-        items = cls(list(ids), list(texts), [len(r) for r in raw], walks, [], [], [], [])
+        sizes = [len(r) for r in raw]
+        items = cls(list(ids), list(texts), sizes, walks, [], [], [], [], Sieve(texts))
         for walk in walks:
             _, key = walk.hashes(octets, starts)
             order = np.argsort(key, kind="stable")
@@ -269,23 +329,30 @@ def _search(texts, group, items, most_edits):
         rows = np.searchsorted(first, places + np.minimum(slack, len(pad)), "right") - 1
         rows = np.maximum(rows, 0)
         near = (places - first[rows]) // 16
+        tried = []
         for row, item, at in sorted(set(zip(rows.tolist(), owners.tolist(), near.tolist()))):
+            most = int(most_edits * len(part.texts[item]))
+            begin = max(0, at * 16 - 2 * most)
+            stop = at * 16 + 16 + part.sizes[item] + 2 * most
+            tried.append((row, item, most, begin, raw[row][begin:stop].decode("utf-8", "ignore")))
+        may = part.sieve.passes(
+            np.array([t[1] for t in tried], np.int64),
+            [t[4] for t in tried],
+            np.array([t[2] for t in tried], np.int64),
+        )
+        for row, item, most, begin, region in (t for t, passed in zip(tried, may) if passed):
             text = part.texts[item]
-            most = int(most_edits * len(text))
             key = (group[row], part.ids[item])
             known = best.get(key)
-            begin = max(0, at * 16 - 2 * most)
-            stop = at * 16 + 16 + part.sizes[item] + 2 * most
             if known and known[0] == 0:
                 continue
-            lead = raw[row][:begin].decode("utf-8", "ignore")
-            region = raw[row][begin:stop].decode("utf-8", "ignore")
             hit = edit_end(text, region, most if known is None else min(most, known[0] - 1))
             if hit:
                 distance, end = hit
                 back = edit_end(text[::-1], region[:end][::-1], distance)
                 start = end - (back[1] if back else len(text))
-                best[key] = (distance, len(lead) + start, len(lead) + end)
+                lead = len(raw[row][:begin].decode("utf-8", "ignore"))
+                best[key] = (distance, lead + start, lead + end)
     return [(row, item, *found) for (row, item), found in sorted(best.items())]
 
 
