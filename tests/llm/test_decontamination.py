@@ -33,6 +33,23 @@ def test_bit_parallel_distance_is_exact():
         assert plain_distance(pattern, text[:end]) == distance
 
 
+def test_sieve_is_exact_on_plain_letters_and_never_too_strict():
+    rng = random.Random(6)
+    patterns, owners, texts = [], [], []
+    for n in range(60):
+        patterns.append("".join(rng.choice("abc é" if n % 2 else "abc ") for _ in range(rng.randrange(1, 200))))
+        for _ in range(5):
+            copy = "".join(c for c in patterns[-1] if rng.random() > 0.1)
+            texts.append("".join(rng.choice("abcñ " if n % 2 else "abc ") for _ in range(30)) + copy + "zz")
+            owners.append(n)
+    sieve = d.Sieve(patterns)
+    least = sieve._least(np.array(owners), texts)
+    for owner, text, got in zip(owners, texts, least):
+        assert got <= plain_distance(patterns[owner], text)
+        if (patterns[owner] + text).isascii():
+            assert got == plain_distance(patterns[owner], text)
+
+
 def test_query_equals_brute_force(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").collect()
     items = spark.read.parquet(f"{tables}/benchmark.parquet").collect()
