@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tableloom.sources import rows_to_frame
+from tableloom.sources.files import CSV_LOSSLESS
 
 # Quotes protect commas, and the first line of each file names the columns.
 QUOTED_WITH_HEADER = {"header": "true"}
@@ -22,6 +24,10 @@ QUOTED_WITH_HEADER = {"header": "true"}
 PLAIN_DELIMITED = {"header": "false", "quote": "", "mode": "PERMISSIVE", "nullValue": "\\N"}
 
 
+# Fixed value: the name of the partition of NULL.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
 def text_table_options(
     *, header: bool = True, quoted: bool = True, delimiter: str = ","
 ) -> dict[str, str]:
@@ -80,6 +86,23 @@ def partitions(spark: SparkSession, table: str) -> DataFrame:
     return spark.sql(f"SHOW PARTITIONS {table}")
 
 
+def partition_rows(spark: SparkSession, table: str, rows: DataFrame) -> DataFrame:
+    """The listed partitions of a table with one partition column, and the rows of each.
+
+    ``rows`` has the partition column and ``n``. Names in the listing are escaped and NULL
+    has a name of its own there, so the listed name is turned back into the value; a
+    partition that is listed or counted, but not both, is kept with NULL for the other.
+    """
+    column = rows.columns[0]
+    written = F.regexp_extract("partition", "(?s)^[^=]*=(.*)$", 1)
+    # "+" is no escape in a listing, but url_decode takes it for a blank.
+    value = F.url_decode(F.regexp_replace(written, r"\+", "%2B"))
+    value = F.when(written != NO_VALUE, value).alias("value")
+    listed = partitions(spark, table).select(F.col("partition").alias("partition_spec"), value)
+    same = F.col("value").eqNullSafe(F.col(f"`{column}`").cast("string"))
+    return listed.join(rows, same, "full_outer").select("partition_spec", "n")
+
+
 def storage(spark: SparkSession, table: str) -> DataFrame:
     """Columns, location, provider, bucketing and properties: ``col_name, data_type, comment``."""
     return spark.sql(f"DESCRIBE FORMATTED {table}")
@@ -102,12 +125,18 @@ def create_text_table(
 
     With ``location`` it is external, over files already there, which dropping the
     table leaves alone; without, it is managed. ``CHAR(n)`` columns read padded with
-    blanks to n characters; declare ``STRING`` for the plain value.
+    blanks to n characters, and longer values of the files are not cut; declare ``STRING``
+    for the plain value. A managed table keeps every value unless ``options`` say otherwise:
+    outer blanks, ``''`` beside NULL, and line breaks.
     """
+    if options is None:
+        options = text_table_options()
+        if location is None:
+            options = {**CSV_LOSSLESS, **options}
     fields = ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
     settings = ", ".join(
         f"{_literal(key)} {_literal(value)}"
-        for key, value in (text_table_options() if options is None else options).items()
+        for key, value in options.items()
     )
     place = f" LOCATION {_literal(location)}" if location else ""
     spark.sql(

@@ -37,7 +37,8 @@ def _literal_pattern(separator: str) -> str:
     """A pattern for exactly this text; single characters avoid the regex engine."""
     if len(separator) == 1:
         return separator if separator.isalnum() else f"\\{separator}"
-    return rf"\Q{separator}\E"
+    # Letter by letter: quoting as a whole would end at a separator's own end of quote.
+    return "".join(map(_literal_pattern, separator))
 
 
 def split_item(value: Column | str, separator: str, position: int) -> Column:

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _own(name: str) -> Column:
+    """A column by its name as it is, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def where_equal(df: DataFrame, **values: object) -> DataFrame:
     """Rows where each named column has the given value (all must hold)."""
     for name, value in values.items():
-        df = df.where(F.col(name) == F.lit(value))
+        df = df.where(_own(name) == F.lit(value))
     return df
 
 
@@ -31,11 +36,11 @@ def where_in(df: DataFrame, column: str, keys: DataFrame, *, unique: bool = Fals
       skew-join handling. It needs both shuffles right under the join, so the keys
       are made distinct under a second, different partitioning.
     """
-    key = F.col(f"`{keys.columns[0]}`")
+    key = _own(keys.columns[0])
     keys = keys.where(key.isNotNull())
     if not unique:
         keys = keys.select(key, F.xxhash64(key).alias("__hash")).distinct().select(key)
-    return df.where(F.col(column).isNotNull() & F.col(column).isin(keys))
+    return df.where(_own(column).isNotNull() & _own(column).isin(keys))
 
 
 def where_scalar(df: DataFrame, column: str, one_row: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def where_scalar(df: DataFrame, column: str, one_row: DataFrame) -> DataFrame:
     The subquery runs once. No row means nothing is equal; more than one is an
     error at run time.
     """
-    return df.where(F.col(column) == one_row.scalar())
+    return df.where(_own(column) == one_row.scalar())
 
 
 def replace_values(

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from tableloom.sources import rows_to_frame
 
@@ -22,6 +22,9 @@ def schema_json(df: DataFrame) -> str:
 def _fields(data_type: DataType, prefix: str = "") -> Iterator[tuple[str, str, bool]]:
     if isinstance(data_type, ArrayType):
         yield from _fields(data_type.elementType, prefix)
+    elif isinstance(data_type, MapType):
+        yield from _fields(data_type.keyType, f"{prefix}.key" if prefix else "key")
+        yield from _fields(data_type.valueType, f"{prefix}.value" if prefix else "value")
     elif isinstance(data_type, StructType):
         for field in data_type:
             path = f"{prefix}.{field.name}" if prefix else field.name

@@ -36,8 +36,11 @@ def replicate(df: DataFrame, copies: int, spread_to: int | None = None) -> DataF
         raise ValueError("copies must not be negative")
     if spread_to is not None:
         df = df.repartition(spread_to)
-    repeated = F.explode(F.array_repeat(F.lit(0), copies)).alias("__copy")
-    return df.select("*", repeated).drop("__copy")
+    name = "copy"
+    while name.lower() in (column.lower() for column in df.columns):
+        name = "_" + name
+    repeated = F.explode(F.array_repeat(F.lit(0), copies)).alias(name)
+    return df.select("*", repeated).drop(name)
 
 
 def first_rows(df: DataFrame, count: int, *order: Column | str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from tableloom.session import file_count, open_session
+from tableloom.session import open_session
 from tableloom.sinks import write_csv
 from tableloom.sources import read_json
 
@@ -30,13 +30,10 @@ def run(
 ) -> None:
     """Read ``source``, keep ``columns``, write ``num_files`` files to ``target``.
 
-    Left out, the number is five, and more for an input of more than five times 256
-    MB; 0 skips the shuffle and writes one file per task.
+    Left out, each task writes its own file and nothing is shuffled.
     """
-    if num_files is None:
-        num_files = file_count(spark, source)
     picked = pick(read_json(spark, source, schema=schema), columns)
-    write_csv(picked, target, header=True, mode=mode, num_files=num_files or None)
+    write_csv(picked, target, header=True, mode=mode, num_files=num_files)
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -45,7 +42,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("target")
     parser.add_argument("--columns", nargs="+", required=True)
     parser.add_argument("--schema", help="DDL of the fields to read; saves a pass over the input")
-    parser.add_argument("--files", type=int, help="left out: by input size; 0: one per task")
+    parser.add_argument("--files", type=int, help="left out: one per task")
     args = parser.parse_args(argv)
     run(
         open_session("json to csv"),

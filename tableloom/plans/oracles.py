@@ -156,8 +156,18 @@ ORACLES: dict[str, str] = {
         FROM part, range(61)
     """,
     "repartition_rows": "SELECT * FROM orders",
-    "partition_sizes": "SELECT count(*) AS n FROM lineitem",
-    "range_source": "SELECT row_number() OVER () - 1 AS id FROM lineitem",
+    "partition_sizes": """
+        SELECT l_linenumber, count(*) AS n, true AS held FROM lineitem GROUP BY l_linenumber
+    """,
+    "in_subquery_sql": f"SELECT * FROM orders WHERE o_custkey IN ({_CUSTOMERS_OF_REGION})",
+    "scalar_subquery_sql": """
+        SELECT c_custkey, c_name FROM customer
+        WHERE c_nationkey = (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_3')
+    """,
+    "list_databases": """
+        SELECT r_regionkey AS n_regionkey, nullif(count(n_nationkey), 0) AS "count"
+        FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey
+    """,
     "rows_to_frame": """
         SELECT * FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')
     """,

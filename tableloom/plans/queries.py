@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,18 +51,16 @@ from tableloom.plans.staging import (
     ROWS_PER_FILE,
     TEXTS_PER_FILE,
     csv_copy,
-    dealt_table,
     json_copy,
     nested_events,
     new_database,
-    shuffled_table,
     staged,
     table,
     table_path,
 )
-from tableloom.session import file_count, new_scratch, size_shuffles
+from tableloom.session import new_scratch
 from tableloom.sinks import insert_frame, insert_rows, write_csv
-from tableloom.sources import integer_range, read_csv, read_json, read_lines, rows_to_frame
+from tableloom.sources import read_csv, read_json, read_lines, rows_to_frame
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -195,7 +194,7 @@ def array_items(spark: SparkSession, folder: str) -> DataFrame:
 @query("split_words")
 def split_into_words(spark: SparkSession, folder: str) -> DataFrame:
     words = split_words("text")
-    return dealt_table(spark, folder, "documents").select(
+    return table(spark, folder, "documents").select(
         "doc_id", F.size(words).alias("n_words"), F.array_join(words, "|").alias("words")
     )
 
@@ -203,7 +202,7 @@ def split_into_words(spark: SparkSession, folder: str) -> DataFrame:
 @query("strip_whitespace")
 def strip_whitespace(spark: SparkSession, folder: str) -> DataFrame:
     sentence = F.concat(F.lit("\t \n"), split_item("text", ".", 1), F.lit(" \r\n "))
-    return dealt_table(spark, folder, "documents").select(
+    return table(spark, folder, "documents").select(
         "doc_id", strip_blanks(sentence).alias("sentence"), strip_blanks("text").alias("text")
     )
 
@@ -230,13 +229,13 @@ def replace_value(spark: SparkSession, folder: str) -> DataFrame:
 
 def _customers_of_region(spark: SparkSession, folder: str) -> DataFrame:
     nations = where_equal(table(spark, folder, "nation"), n_regionkey=1)
-    customers = shuffled_table(spark, folder, "customer")
+    customers = table(spark, folder, "customer")
     return where_in(customers, "c_nationkey", nations.select("n_nationkey"), unique=True)
 
 
 def _orders_of_region(spark: SparkSession, folder: str) -> DataFrame:
     customers = _customers_of_region(spark, folder).select("c_custkey")
-    orders = shuffled_table(spark, folder, "orders")
+    orders = table(spark, folder, "orders")
     return where_in(orders, "o_custkey", customers, unique=True)
 
 
@@ -253,13 +252,13 @@ def nested_in_subquery(spark: SparkSession, folder: str) -> DataFrame:
 @query("deep_in_subquery")
 def deep_in_subquery(spark: SparkSession, folder: str) -> DataFrame:
     orders = _orders_of_region(spark, folder).select("o_orderkey")
-    lines = shuffled_table(spark, folder, "lineitem")
+    lines = table(spark, folder, "lineitem")
     return where_in(lines, "l_orderkey", orders, unique=True)
 
 
 @query("in_subquery_repeated_keys")
 def in_subquery_repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
-    returned = where_equal(shuffled_table(spark, folder, "lineitem"), l_returnflag="R")
+    returned = where_equal(table(spark, folder, "lineitem"), l_returnflag="R")
     return where_in(table(spark, folder, "part"), "p_partkey", returned.select("l_partkey"))
 
 
@@ -280,6 +279,31 @@ def nested_scalar_subquery(spark: SparkSession, folder: str) -> DataFrame:
     return where_scalar(table(spark, folder, "orders"), "o_custkey", customer)
 
 
+@query("in_subquery_sql")
+def in_subquery_sql(spark: SparkSession, folder: str) -> DataFrame:
+    for name in ("nation", "customer", "orders"):
+        catalog.register_view(table(spark, folder, name), f"tableloom_{name}")
+    return spark.sql(
+        """
+        SELECT * FROM tableloom_orders WHERE o_custkey IN (
+            SELECT c_custkey FROM tableloom_customer WHERE c_nationkey IN (
+                SELECT n_nationkey FROM tableloom_nation WHERE n_regionkey = 1))
+        """
+    )
+
+
+@query("scalar_subquery_sql")
+def scalar_subquery_sql(spark: SparkSession, folder: str) -> DataFrame:
+    for name in ("nation", "customer"):
+        catalog.register_view(table(spark, folder, name), f"tableloom_{name}")
+    return spark.sql(
+        """
+        SELECT c_custkey, c_name FROM tableloom_customer WHERE c_nationkey = (
+            SELECT n_nationkey FROM tableloom_nation WHERE n_name = 'NATION_3')
+        """
+    )
+
+
 # --- counts, limits, set operations -----------------------------------------
 
 
@@ -290,8 +314,7 @@ def count_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("word_count")
 def count_words(spark: SparkSession, folder: str) -> DataFrame:
-    size_shuffles(spark, table_path(folder, "documents"))
-    return word_counts(dealt_table(spark, folder, "documents"), "text")
+    return word_counts(table(spark, folder, "documents"), "text")
 
 
 @query("limit_rows")
@@ -350,18 +373,17 @@ def enlarged_midpoints(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("repartition_rows")
 def repartition_rows(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders")
-    return spread(orders, file_count(spark, table_path(folder, "orders")))
+    return spread(table(spark, folder, "orders"), 16)
 
 
 @query("partition_sizes")
 def rows_of_all_partitions(spark: SparkSession, folder: str) -> DataFrame:
-    return partition_sizes(table(spark, folder, "lineitem")).agg(F.sum("n").alias("n"))
-
-
-@query("range_source")
-def range_source(spark: SparkSession, folder: str) -> DataFrame:
-    return integer_range(spark, table(spark, folder, "lineitem").count())
+    """Rows per partition after dealing by key: all rows of a key are in one partition."""
+    dealt = table(spark, folder, "lineitem").repartition(6, "l_linenumber")
+    sizes = partition_sizes(dealt)
+    keys = dealt.groupBy(F.spark_partition_id().alias("partition"), "l_linenumber").count()
+    held = keys.join(sizes, "partition")
+    return held.select("l_linenumber", F.col("count").alias("n"), (F.col("n") >= F.col("count")).alias("held"))
 
 
 @query("rows_to_frame")
@@ -413,7 +435,7 @@ def csv_sink_noheader(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("csv_lossless_texts")
 def csv_lossless_texts(spark: SparkSession, folder: str) -> DataFrame:
-    documents = dealt_table(spark, folder, "documents")
+    documents = table(spark, folder, "documents")
     path = new_scratch(spark, "csv-lossless-texts")
     write_csv(documents, path, lossless=True, max_records_per_file=TEXTS_PER_FILE)
     return read_csv(spark, path, schema=documents.schema, lossless=True)
@@ -421,7 +443,7 @@ def csv_lossless_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("csv_lossless_timestamps")
 def csv_lossless_timestamps(spark: SparkSession, folder: str) -> DataFrame:
-    events = dealt_table(spark, folder, "events")
+    events = table(spark, folder, "events")
     path = new_scratch(spark, "csv-lossless-events")
     write_csv(events, path, header=True, lossless=True, max_records_per_file=ROWS_PER_FILE)
     return read_csv(spark, path, header=True, schema=events.schema, lossless=True)
@@ -453,7 +475,7 @@ def json_project_csv(spark: SparkSession, folder: str) -> DataFrame:
     source = json_copy(spark, folder, "documents")
     target = new_scratch(spark, "json-to-csv")
     schema = "doc_id bigint, lang string"
-    json_to_csv.run(spark, source, target, ["doc_id", "lang"], schema=schema)
+    json_to_csv.run(spark, source, target, ["doc_id", "lang"], schema=schema, num_files=5)
     return read_csv(spark, target, header=True, schema=schema)
 
 
@@ -462,11 +484,11 @@ def word_count_files(spark: SparkSession, folder: str) -> DataFrame:
     source = staged(
         spark,
         folder,
+        "documents",
         "documents-text",
-        lambda path: dealt_table(spark, folder, "documents").select("text").write.text(path),
+        lambda path: table(spark, folder, "documents").select("text").write.text(path),
     )
     target = new_scratch(spark, "word-count")
-    size_shuffles(spark, source)
     word_count.run(spark, source, target)
     line = read_lines(spark, target)
     return line.select(
@@ -587,6 +609,19 @@ def catalog_databases(spark: SparkSession, folder: str) -> DataFrame:
         catalog.use_database(spark, before)
 
 
+@query("list_databases")
+def list_databases(spark: SparkSession, folder: str) -> DataFrame:
+    """A database made for each region, as the catalog lists them, with the region's nations."""
+    label = "region_" + uuid.uuid4().hex
+    nations = table(spark, folder, "nation").groupBy("n_regionkey").count()
+    for row in table(spark, folder, "region").select("r_regionkey").toLocalIterator():
+        path = new_scratch(spark, f"{label}_{row[0]}")
+        catalog.create_database(spark, f"{label}_{row[0]}", path)
+    listed = catalog.databases(spark).where(F.col("namespace").startswith(label))
+    key = F.regexp_extract("namespace", "_([0-9]+)$", 1).cast("bigint").alias("n_regionkey")
+    return listed.select(key).join(nations, "n_regionkey", "left")
+
+
 @query("catalog_tables")
 def catalog_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The tables a database lists, and the rows of each."""
@@ -628,11 +663,8 @@ def catalog_storage(spark: SparkSession, folder: str) -> DataFrame:
     table(spark, folder, "orders").write.partitionBy("o_orderstatus").format(
         "parquet"
     ).saveAsTable(name)
-    spec = F.concat(F.lit("o_orderstatus="), "o_orderstatus").alias("partition_spec")
     rows = spark.table(name).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-    keyed = rows.select(spec, "n")
-    listed = catalog.partitions(spark, name).withColumnRenamed("partition", "partition_spec")
-    return listed.join(keyed, "partition_spec")
+    return catalog.partition_rows(spark, name, rows)
 
 
 @query("schema_as_rows")

@@ -1,31 +1,25 @@
 """Copies of the given Parquet tables in the other formats the readers are for.
 
-Every copy is written by Spark tasks into the shared scratch folder, whole, and
-once per session.
+Every copy is written by Spark tasks into the shared scratch folder, whole, and once
+per session and state of the table's files.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableloom import catalog
-from tableloom.operators import spread
-from tableloom.session import cut_hot_partitions, input_bytes, new_scratch, size_shuffles
+from tableloom.session import new_scratch
 from tableloom.sinks import write_csv, write_json
 
 # Files with line breaks inside values are read by one task each: keep them moderate.
 TEXTS_PER_FILE = 20_000
 ROWS_PER_FILE = 2_000_000
 
-# A table below SMALL_BYTES may sit in fewer pieces than there are cores.
-SMALL_BYTES = 1024 * 1024 * 1024
-PIECE_BYTES = 256 * 1024
-
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple, str] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,28 +31,20 @@ def table_path(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}.parquet"
 
 
-def dealt_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table for work that is heavy per row.
-
-    A small one, which a few tasks would read, is dealt out to the cores first; a
-    large one comes in enough pieces by itself and is never shuffled here.
-    """
-    df = table(spark, folder, name)
-    size = input_bytes(spark, table_path(folder, name))
-    pieces = min(spark.sparkContext.defaultParallelism, math.ceil(size / PIECE_BYTES))
-    return spread(df, pieces) if pieces > 1 and size < SMALL_BYTES else df
-
+def state_of(df: DataFrame) -> tuple:
+    """Names, sizes and times of the files a frame is read from; a new version differs."""
+    found = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    return tuple(sorted(map(tuple, found.distinct().collect())))
 
-def shuffled_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table that a join will shuffle: makes room for its size and for hot keys."""
-    cut_hot_partitions(spark)
-    size_shuffles(spark, table_path(folder, name))
-    return table(spark, folder, name)
 
+def staged(
+    spark: SparkSession, folder: str, name: str, label: str, write: Callable[[str], None]
+) -> str:
+    """Path of a copy of table ``name``, written by ``write(path)`` on first use.
 
-def staged(spark: SparkSession, folder: str, label: str, write: Callable[[str], None]) -> str:
-    """Path of a copy, written by ``write(path)`` on first use in this session."""
-    key = (spark.sparkContext.applicationId, folder, label)
+    A table that was rewritten since is copied anew.
+    """
+    key = (spark.sparkContext.applicationId, folder, label, state_of(table(spark, folder, name)))
     if key not in _written:
         path = new_scratch(spark, label)
         write(path)
@@ -79,8 +65,9 @@ def csv_copy(spark: SparkSession, folder: str, name: str, *, header: bool) -> st
     return staged(
         spark,
         folder,
+        name,
         f"{name}-csv-{'header' if header else 'bare'}",
-        lambda path: write_csv(dealt_table(spark, folder, name), path, header=header),
+        lambda path: write_csv(table(spark, folder, name), path, header=header),
     )
 
 
@@ -89,8 +76,9 @@ def json_copy(spark: SparkSession, folder: str, name: str) -> str:
     return staged(
         spark,
         folder,
+        name,
         f"{name}-json",
-        lambda path: write_json(dealt_table(spark, folder, name), path),
+        lambda path: write_json(table(spark, folder, name), path),
     )
 
 
@@ -99,7 +87,7 @@ def nested_events(spark: SparkSession, folder: str) -> str:
 
     Errors have no location, and the type of a click has no code before it.
     """
-    events = dealt_table(spark, folder, "events")
+    events = table(spark, folder, "events")
     register = events.select(
         F.concat(F.lit("rec-"), "event_id").alias("recordid"),
         F.col("ts").alias("record_timestamp"),
@@ -118,7 +106,9 @@ def nested_events(spark: SparkSession, folder: str) -> str:
             ).alias("geolocation"),
         ).alias("fields"),
     )
-    return staged(spark, folder, "events-nested", lambda path: write_json(register, path))
+    return staged(
+        spark, folder, "events", "events-nested", lambda path: write_json(register, path)
+    )
 
 
 NESTED_EVENTS = """

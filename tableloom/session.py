@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -24,10 +23,6 @@ HOT_PARTITIONS = {
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2.0",
 }
-SPARK_HOT_PARTITIONS = ("256MB", "268435456b", "5.0")
-
-MOST_PARTITIONS = 20_000
-
 
 def open_session(app_name: str = "tableloom", conf: dict[str, str] | None = None) -> SparkSession:
     """Get or create a session with the defaults above, overlaid by ``conf``."""
@@ -64,7 +59,8 @@ def scratch_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # local-cluster is a cluster
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tableloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -73,46 +69,3 @@ def scratch_root(spark: SparkSession) -> str:
 def new_scratch(spark: SparkSession, label: str) -> str:
     """A path under the scratch root that no earlier run has used."""
     return f"{scratch_root(spark)}/tableloom/{label}-{uuid.uuid4().hex}"
-
-
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Size of what a path or glob names on any Hadoop file system; 0 if there is nothing."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    filesystem = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    matches = filesystem.globStatus(hadoop_path) or []
-    return sum(filesystem.getContentSummary(match.getPath()).getLength() for match in matches)
-
-
-def file_count(
-    spark: SparkSession, path: str, at_least: int = 5, bytes_each: int = 256 * 1024 * 1024
-) -> int:
-    """Tasks or files to deal an input out to: ``at_least``, more where it is large.
-
-    Never above ``MOST_PARTITIONS``: the blocks of a shuffle are map tasks times
-    partitions, and beyond some point larger partitions are the lesser cost.
-    """
-    wanted = math.ceil(input_bytes(spark, path) / bytes_each)
-    return max(at_least, min(wanted, MOST_PARTITIONS))
-
-
-def size_shuffles(spark: SparkSession, path: str, bytes_each: int = 128 * 1024 * 1024) -> int:
-    """Enough shuffle partitions that each holds about ``bytes_each`` of the input at ``path``.
-
-    Only ever raises the session's setting; adaptive execution joins small partitions
-    again, so a high number does no harm to the session's other queries.
-    """
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    count = file_count(spark, path, configured, bytes_each)
-    if count > configured:
-        spark.conf.set("spark.sql.shuffle.partitions", str(count))
-    return count
-
-
-def cut_hot_partitions(spark: SparkSession) -> None:
-    """Put ``HOT_PARTITIONS`` in place of Spark's own values in a session made elsewhere.
-
-    Values the session's owner chose are left alone.
-    """
-    for key, value in HOT_PARTITIONS.items():
-        if spark.conf.get(key) in SPARK_HOT_PARTITIONS:
-            spark.conf.set(key, value)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tableloom.sources.files import CSV_LOSSLESS
 
@@ -33,11 +34,28 @@ def write_csv(
     if num_files is not None:
         df = df.repartition(num_files)
     settings = {**(CSV_LOSSLESS if lossless else {}), **options}
+    if lossless:
+        df = _without_null_mark(df, settings["nullValue"])
     if max_records_per_file is not None:
         settings["maxRecordsPerFile"] = str(max_records_per_file)
     df.write.options(**settings).mode(mode).csv(path, header=header)
 
 
+def _without_null_mark(df: DataFrame, mark: str) -> DataFrame:
+    """``df``, failing on a text that equals the mark for NULL."""
+    message = F.lit("a value equals the mark for NULL of lossless CSV")
+    return df.select(
+        *(
+            F.when(F.col(f"`{f.name}`") == mark, F.raise_error(message).cast("string"))
+            .otherwise(F.col(f"`{f.name}`"))
+            .alias(f.name)
+            if isinstance(f.dataType, StringType)
+            else F.col(f"`{f.name}`")
+            for f in df.schema
+        )
+    )
+
+
 def write_json(df: DataFrame, path: str, *, mode: str = "errorifexists", **options: str) -> None:
     """Write JSON lines, timestamps with microseconds."""
     df.write.options(**{**JSON_TIMESTAMPS, **options}).mode(mode).json(path)

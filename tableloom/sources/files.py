@@ -11,9 +11,9 @@ from pyspark.sql.types import StructType
 # same schema on the read, every scalar value comes back unchanged. The line end has
 # to be named, or the reader guesses it from the first break it meets, which may be
 # one inside a value; and the escape of the escape has to be named, or it is the NUL
-# character, which then disappears from values. NULL is written as U+0001, so a value
-# of exactly that one character is the only one that reads as NULL. Text that does not
-# fit its column's type is an error instead of NULL.
+# character, which then disappears from values. NULL is written as U+0001; writing a
+# value of exactly that one character is an error. Instants carry their offset. Text that
+# does not fit its column's type is an error instead of NULL.
 CSV_LOSSLESS = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
@@ -23,7 +23,7 @@ CSV_LOSSLESS = {
     "escape": '"',
     "charToEscapeQuoteEscaping": '"',
     "nullValue": "\u0001",
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 }
 

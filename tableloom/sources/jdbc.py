@@ -58,7 +58,9 @@ def frequent_keys(
         url,
         f"(SELECT {column} AS k, COUNT(*) AS n, (SELECT COUNT(*) FROM {table}) AS total"
         f" FROM {table} WHERE {column} IS NOT NULL GROUP BY {column}"
-        f" HAVING COUNT(*) > 1 AND COUNT(*) * {parts} > (SELECT COUNT(*) FROM {table}))"
+        # Counts are 32-bit in some databases, and would overflow when multiplied.
+        f" HAVING COUNT(*) > 1 AND CAST(COUNT(*) AS DECIMAL(38, 0)) * {parts}"
+        f" > (SELECT COUNT(*) FROM {table}))"
         " frequent_keys",
         properties,
     )
@@ -87,7 +89,9 @@ def read_jdbc_by_key(
 
     A range is never narrower than one key. Where the key is not unique, name
     another integer column in ``spread_column``: keys with more than a fair share
-    of the rows are then read in several parts, at most tripling the partitions.
+    of the rows are then read in several parts, and rows without a key in
+    ``num_partitions`` more, at most multiplying the partitions by four. No read from a
+    live database has been run.
     """
     if lower is None or upper is None:
         found = key_bounds(spark, url, table, properties, column)
@@ -97,11 +101,10 @@ def read_jdbc_by_key(
         upper = found[1] + 1 if upper is None else upper
     if spread_column is not None:
         hot = frequent_keys(spark, url, table, properties, column, num_partitions)
-        if hot:
-            predicates = key_range_predicates(
-                column, lower, upper, num_partitions, hot_keys=hot, spread_column=spread_column
-            )
-            return read_jdbc(spark, url, table, properties, predicates=predicates)
+        predicates = key_range_predicates(
+            column, lower, upper, num_partitions, hot_keys=hot, spread_column=spread_column
+        )
+        return read_jdbc(spark, url, table, properties, predicates=predicates)
     return spark.read.jdbc(
         url,
         table,
@@ -126,7 +129,7 @@ def key_range_predicates(
 
     Rows of a key in ``hot_keys`` are cut a second time, into the given number of
     clauses by the remainder of ``spread_column``, so that no single task reads
-    them all.
+    them all; with a ``spread_column``, rows without a key are cut into ``parts`` clauses.
     """
     hot_keys = dict(sorted((hot_keys or {}).items()))
     if parts < 1 or upper < lower:
@@ -141,10 +144,17 @@ def key_range_predicates(
         limits += [f"{column} < {high}"] if high is not None else []
         limits += [f"{column} NOT IN ({', '.join(map(str, hot_keys))})"] if hot_keys else []
         ranges.append(" AND ".join(limits))
-    ranges[0] = f"({ranges[0]}) OR {column} IS NULL"
+    if spread_column:  # NULL keys may be many; their share is not known
+        no_key = [
+            f"{column} IS NULL AND COALESCE(ABS({spread_column} % {parts}), 0) = {way}"
+            for way in range(parts)
+        ]
+    else:
+        no_key = []
+        ranges[0] = f"({ranges[0]}) OR {column} IS NULL"
     hot = [
         f"{column} = {key} AND COALESCE(ABS({spread_column} % {ways}), 0) = {way}"
         for key, ways in hot_keys.items()
         for way in range(ways)
     ]
-    return ranges + hot
+    return ranges + hot + no_key

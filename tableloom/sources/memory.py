@@ -21,10 +21,14 @@ def rows_to_frame(
 
     For lookup rows a program spells out; bulk data belongs in a file or table. The
     rows become part of the plan, so Catalyst knows their size when it picks a join,
-    and no Python worker starts.
+    and no Python worker starts. A row with more or fewer values than the schema has
+    fields is an error.
     """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
     rows = list(rows)
+    for number, row in enumerate(rows):
+        if len(row) != len(schema):
+            raise ValueError(f"row {number} has {len(row)} values, the schema {len(schema)}")
     values = [pa.array([row[i] for row in rows]) for i in range(len(schema))]
     return spark.createDataFrame(pa.table(values, names=schema.names), schema)

@@ -26,7 +26,7 @@ def test_json_to_csv(spark, tmp_path):
         json_to_csv.run(spark, source, target, ["user_id", "friends"])
         assert rows(read_csv(spark, target, header=True)) == [("u1", "u2, u3"), ("u2", "None")]
     json_to_csv.run(
-        spark, source, target, ["user_id"], schema="user_id string", num_files=0, mode="overwrite"
+        spark, source, target, ["user_id"], schema="user_id string", mode="overwrite"
     )
     assert rows(read_csv(spark, target, header=True)) == [("u1",), ("u2",)]
     with pytest.raises(AnalysisException):
@@ -36,7 +36,7 @@ def test_json_to_csv(spark, tmp_path):
 def test_json_to_csv_writes_five_files(spark, tables, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     spark.read.parquet(f"{tables}/documents.parquet").write.json(source)
-    json_to_csv.run(spark, source, target, ["doc_id", "lang"])
+    json_to_csv.run(spark, source, target, ["doc_id", "lang"], num_files=5)
     assert len(glob.glob(f"{target}/part-*.csv")) == 5
     assert read_csv(spark, target, header=True).count() == 200
 
@@ -172,15 +172,6 @@ def test_scratch_folder_is_never_machine_local_on_a_cluster():
         session.scratch_root(cluster)
 
 
-def test_hot_partition_settings_respect_the_owner(spark, settings):
-    threshold, factor = session.HOT_PARTITIONS
-    names = [name.removeprefix("spark.sql.").replace(".", "__") for name in (threshold, factor)]
-    settings(**{names[0]: "256MB", names[1]: "7.0"})
-    session.cut_hot_partitions(spark)
-    assert spark.conf.get(threshold) == "64MB"
-    assert spark.conf.get(factor) == "7.0"
-
-
 def test_object_store_settings():
     conf = session.object_store_conf("http://store:9000", "key", "secret", ssl=False)
     assert all(name.startswith("spark.hadoop.fs.s3a.") for name in conf)
@@ -188,17 +179,88 @@ def test_object_store_settings():
     assert conf["spark.hadoop.fs.s3a.path.style.access"] == "true"
 
 
-def test_sizes_follow_the_input(spark, tmp_path, settings):
-    (tmp_path / "in.bin").write_bytes(b"x" * 1000)
-    path = str(tmp_path / "in.bin")
-    assert session.input_bytes(spark, path) == 1000
-    assert session.input_bytes(spark, str(tmp_path)) == 1000
-    assert session.input_bytes(spark, str(tmp_path / "*.bin")) == 1000
-    assert session.input_bytes(spark, str(tmp_path / "absent")) == 0
-    assert session.file_count(spark, path) == 5
-    assert session.file_count(spark, path, bytes_each=100) == 10
-    with mock.patch.object(session, "input_bytes", return_value=100 * 2**40):
-        assert session.file_count(spark, path) == session.MOST_PARTITIONS
-    settings(shuffle__partitions="8")
-    assert session.size_shuffles(spark, path) == 8
-    assert session.size_shuffles(spark, path, bytes_each=10) == 100
+def test_local_cluster_is_a_cluster():
+    cluster = mock.Mock()
+    cluster.conf.get.return_value = None
+    cluster.sparkContext.getCheckpointDir.return_value = None
+    cluster.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(cluster)
+
+
+def test_a_rewritten_table_is_copied_anew(spark, tables, tmp_path):
+    from tableloom.plans import queries
+
+    folder = str(tmp_path)
+    given = spark.read.parquet(f"{tables}/customer.parquet")
+    for count in (3, 9):
+        given.limit(count).write.mode("overwrite").parquet(f"{folder}/customer.parquet")
+        assert queries.csv_scan_raw(spark, folder).count() == count
+
+
+def test_building_queries_leaves_the_settings_alone(spark, tables):
+    from tableloom.plans.queries import QUERIES
+
+    before = dict(spark.conf.getAll)
+    for name in ("word_count", "deep_in_subquery", "word_count_files", "repartition_rows"):
+        QUERIES[name](spark, tables)
+    assert dict(spark.conf.getAll) == before
+
+
+def test_rows_of_a_wrong_length_are_refused(spark):
+    for row in ([1, "x", "EXTRA"], [1]):
+        with pytest.raises(ValueError, match="values"):
+            rows_to_frame(spark, [row], "a int, b string")
+
+
+def test_lossless_csv_keeps_instants_and_refuses_the_mark(spark, tmp_path, settings):
+    from pyspark.errors import PySparkException
+
+    from tableloom.sinks import write_csv
+
+    settings(session__timeZone="America/New_York")
+    frame = spark.sql("SELECT timestamp_seconds(s) AS t FROM VALUES (1730613000), (1730616600) AS v(s)")
+    write_csv(frame, str(tmp_path / "t"), lossless=True)
+    back = read_csv(spark, str(tmp_path / "t"), schema=frame.schema, lossless=True)
+    assert sorted(r[0] for r in back.selectExpr("unix_seconds(t)").collect()) == [1730613000, 1730616600]
+    with pytest.raises(PySparkException):
+        write_csv(rows_to_frame(spark, [["\x01"]], "a string"), str(tmp_path / "m"), lossless=True)
+
+
+def test_managed_text_table_keeps_values(spark):
+    from tableloom import catalog
+    from tableloom.plans.staging import new_database
+    from tableloom.sinks import insert_rows
+
+    name = f"`{new_database(spark, 'kept')}`.t"
+    catalog.create_text_table(spark, name, {"id": "INT", "v": "STRING"})
+    given = [(1, " pad "), (2, ""), (3, "x\ny"), (4, None), (5, "\\N"), (6, "p,q"), (7, '"')]
+    insert_rows(spark, name, given)
+    assert sorted(map(tuple, spark.table(name).collect())) == given
+
+
+def test_partitions_of_null_and_odd_values(spark, tmp_path):
+    from tableloom import catalog
+    from tableloom.plans.staging import new_database
+
+    name = f"`{new_database(spark, 'odd')}`.t"
+    values = [["O"], [None], ["a b/c"], ["1+1=2%"], ["O"]]
+    frame = rows_to_frame(spark, values, "k string").selectExpr("1 AS x", "k")
+    frame.write.partitionBy("k").saveAsTable(name)
+    counted = spark.table(name).groupBy("k").count().withColumnRenamed("count", "n")
+    found = catalog.partition_rows(spark, name, counted).collect()
+    assert sorted(r["n"] for r in found) == [1, 1, 1, 2]
+    assert all(r["partition_spec"] is not None for r in found)
+
+
+def test_names_and_separators_that_look_like_syntax(spark):
+    from tableloom.functions import split_item
+    from tableloom.operators import replicate, schema_rows, where_equal, where_in
+
+    frame = rows_to_frame(spark, [[1, "x\\Ey"]], "`a.b` int, copy string")
+    assert replicate(frame, 3).columns == ["a.b", "copy"]
+    assert where_equal(frame, **{"a.b": 1}).count() == 1
+    assert where_in(frame, "a.b", frame.select("`a.b`")).count() == 1
+    assert frame.select(split_item("copy", "\\E", 1)).first()[0] == "y"
+    nested = spark.createDataFrame([], "m map<string, struct<inner: int>>")
+    assert [r["field"] for r in schema_rows(nested).collect()] == ["m", "m.value.inner"]
