@@ -73,6 +73,11 @@ def fingerprints(
     return texts.mapInArrow(run, "id long, uid long, fp long")
 
 
+def differing_bits(both: np.ndarray) -> np.ndarray:
+    """Bits set in signed numbers, the sign among them (numpy counts those of the amount)."""
+    return np.bitwise_count(both.view(np.uint64))
+
+
 class Tree:
     """Vantage points and cuts by level; a node's children are 4n to 4n + 3 of the next."""
 
@@ -81,7 +86,7 @@ class Tree:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     def distances(self, level: int, node: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(marks ^ self.levels[level][0][node]).astype(np.int64)
+        return differing_bits(marks ^ self.levels[level][0][node]).astype(np.int64)
 
     def shell(self, level: int, node: np.ndarray, distance: np.ndarray) -> np.ndarray:
         return (distance[:, None] > self.levels[level][1][node]).sum(axis=1)
@@ -119,7 +124,7 @@ def _distance_to(points: np.ndarray):
     @F.pandas_udf("int")
     def distance(fp: pd.Series, node: pd.Series) -> pd.Series:
         differ = fp.to_numpy(np.int64) ^ points[node.to_numpy(np.int64)]
-        return pd.Series(np.bitwise_count(differ).astype(np.int32))
+        return pd.Series(differing_bits(differ).astype(np.int32))
 
     return distance
 
@@ -162,7 +167,7 @@ def close_sets(home: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.
     step = max(1, CELLS // max(1, len(home)))
     for start in range(0, len(every), step):
         stop = min(start + step, len(every))
-        near = np.bitwise_count(every[start:stop, None] ^ home[None, :]) <= radius
+        near = differing_bits(every[start:stop, None] ^ home[None, :]) <= radius
         left, right = np.nonzero(near)
         left += start
         while True:
@@ -271,13 +276,14 @@ def one_of_each(
         placed.where(stays).groupBy(F.col("uid").alias("often")).count().where("count > 1"),
         "repeated-rows",
     ).drop("count")
-    uid = free_name(docs, "uid")
+    uid, key = free_name(docs, "uid"), free_name(docs, "key")
     marked = docs.withColumn(uid, F.xxhash64(id_col, text_col))
-    left = marked.join(sent_if_small(gone, 24), F.col(uid) == F.col("gone"), "left_anti")
+    same = F.col(uid) == F.col(key)
+    gone = gone.withColumnRenamed("gone", key)
+    left = marked.join(sent_if_small(gone, 24), same, "left_anti")
     rows = often.count()
     if rows:
-        often = sent_if_small(often, 24, rows)
-        same = F.col(uid) == F.col("often")
+        often = sent_if_small(often.withColumnRenamed("often", key), 24, rows)
         once = left.join(often, same, "left_semi").dropDuplicates([uid])
         left = left.join(often, same, "left_anti").unionByName(once)
     return left.select(*docs.columns)

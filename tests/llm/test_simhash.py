@@ -66,7 +66,7 @@ def test_tree_loses_no_pair(spark):
     met = {(int(h), int(h_row)) for h_row, h in enumerate(home)} | set(
         zip(leaf.tolist(), row.tolist())
     )
-    near = np.bitwise_count(marks[:, None] ^ marks[None, :]) <= 2
+    near = np.bitwise_count((marks[:, None] ^ marks[None, :]).view(np.uint64)) <= 2
     for i, j in zip(*np.nonzero(np.triu(near, 1))):
         assert (int(home[i]), int(j)) in met or (int(home[j]), int(i)) in met
 
