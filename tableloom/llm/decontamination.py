@@ -5,6 +5,8 @@ letter it stands on, and a random bit, drawn per step and letter, decides whethe
 on. Strings that differ by few edits walk alike for long and fall into step again. A few
 coordinates of the embedding, drawn at random, are a locality-sensitive hash (bit
 sampling for Hamming distance); several walks with several draws reach the target recall.
+How many is measured on copies as far away as a copy may be, made of the items that are
+hardest to find. If no number of walks of any length reaches it, all places are compared.
 
 Windows begin at the words of a document and of an item alike. Walks are as long as the
 item's class allows, so a window that matches is one inside the item's own length. The
@@ -27,11 +29,12 @@ from pyspark.sql import functions as F
 
 from tableloom.llm.common import free_name, sent_if_small, written
 
-STEPS = (48, 24, 12, 6, 3, 1)  # lengths of walks; an item takes the longest of half its size
+STEPS = (48, 24, 12, 6, 3, 1)  # lengths of walks; an item takes the longest that finds it surely
 SAMPLES = 12  # coordinates per hash, at most
 WORK_BYTES = 1 << 22  # of document text walked at once
 BLOCK_CHARS = 1 << 22  # of item text sent out at once
-MOST_WALKS = 24
+MOST_WALKS = 16  # an item that needs more takes shorter walks; if none will do, it is searched exactly
+HARDEST, COPIES = 6, 40  # items of like length, and copies of each, that recall is measured on
 FILTER_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,6 +196,7 @@ class Items:
     ids: list[int]
     texts: list[str]
     sizes: list[int]  # in bytes
+    exact: bool  # no number of walks is enough: all places are compared
     walks: list[Walk]
     filters: list[list[np.ndarray]]
     keys: list[np.ndarray]  # per walk: sorted hashes, each with item and offset
@@ -201,14 +205,13 @@ class Items:
     sieve: Sieve
 
     @classmethod
-    def build(cls, ids, texts, steps: int, design_rate: float, recall: float) -> Items:
+    def build(cls, ids, texts, steps: int, count: int) -> Items:
         rng = np.random.default_rng(steps)
         raw = [t.encode() for t in texts]
         octets, starts, owners, offsets = _laid(raw, steps)
-        count = walks_needed(texts, steps, design_rate, recall, rng)
         walks = [Walk.draw(rng, steps) for _ in range(count)]
         sizes = [len(r) for r in raw]
-        items = cls(list(ids), list(texts), sizes, walks, [], [], [], [], Sieve(texts))
+        items = cls(list(ids), list(texts), sizes, not count, walks, [], [], [], [], Sieve(texts))
         for walk in walks:
             _, key = walk.hashes(octets, starts)
             order = np.argsort(key, kind="stable")
@@ -218,6 +221,15 @@ class Items:
             items.offsets.append(offsets[order])
         return items
 
+    def __getstate__(self) -> dict:
+        """Filters are sent in an eighth of their size."""
+        packed = [[np.packbits(bits) for bits in own] for own in self.filters]
+        return self.__dict__ | {"filters": packed}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.filters = [[np.unpackbits(bits).view(bool) for bits in own] for own in self.filters]
+
     def candidates(self, octets: np.ndarray, starts: np.ndarray):
         """(place in ``octets`` where the item would begin, item) of all matching windows."""
         places, items = [], []
@@ -248,47 +260,85 @@ def _laid(raw: list[bytes], steps: int):
     return octets, starts[whole], owners[whole], offsets[whole]
 
 
+def edited(text: str, edits: int, letters: np.ndarray, rng: np.random.Generator) -> str:
+    """``text`` with so many of its letters deleted, replaced, or followed by a new one."""
+    copied = list(text)
+    for place in rng.permutation(len(text))[:edits]:
+        new = rng.choice(letters)
+        copied[place] = [text[place] + new, "", new][rng.integers(3)]
+    return "".join(copied)
+
+
 def walks_needed(
     texts: list[str], steps: int, rate: float, recall: float, rng: np.random.Generator
-) -> int:
+) -> int | None:
     """Walks that find a copy with ``rate`` of its letters edited with probability ``recall``.
 
-    The chance of a single walk is measured: items are copied with random insertions,
-    deletions and replacements, and a copy counts as found if one of its windows has the
-    hash of an item window at about the same offset.
+    Measured on the items of fewest windows, the hardest of the class, and for each of them:
+    the worst one counts. Each is copied with random insertions, deletions and replacements;
+    a walk finds a copy if one of its windows has the hash of an item window so near to its
+    offset that the search would look in the right place. What counts is the share of copies
+    that all of the walks miss, since some copies are harder than others. None if
+    ``MOST_WALKS`` are not enough.
     """
-    chosen = [texts[i] for i in rng.permutation(len(texts))[:48]]
+    windows = np.bincount(_laid([t.encode() for t in texts], steps)[2], minlength=len(texts))
+    chosen = [texts[i] for i in np.lexsort([[len(t) for t in texts], windows])[:HARDEST]]
     letters = np.array(sorted(set("".join(chosen))) or ["a"])
-    found = tried = 0
-    for text in chosen:
-        copied = []
-        for letter in text:
-            if rng.random() >= rate:
-                copied.append(letter)
-                continue
-            kind = rng.integers(3)
-            copied += [[letter, rng.choice(letters)], [], [rng.choice(letters)]][kind]
-        one, two = _laid([text.encode()], steps), _laid(["".join(copied).encode()], steps)
-        for _ in range(8):
-            walk = Walk.draw(rng, steps)
-            _, key = walk.hashes(one[0], one[1])
-            other = walk.hashes(two[0], two[1])[1] if len(two[1]) else key[:0]
-            found += bool(np.isin(key, other).any())
-            tried += 1
-    chance = min(0.999, max(found, 0.5) / max(1, tried))
-    return max(2, min(MOST_WALKS, math.ceil(math.log(1 - recall) / math.log(1 - chance))))
+    owner = np.repeat(np.arange(len(chosen)), COPIES)
+    copies = [edited(chosen[i], int(rate * len(chosen[i])), letters, rng) for i in owner]
+    one = _laid([t.encode() for t in chosen], steps)
+    two = _laid([t.encode() for t in copies], steps)
+    near = np.array([int(rate * len(t)) for t in chosen], np.int64)
+    drawn = 2 * MOST_WALKS
+    hits = np.zeros(len(copies), np.int64)
+    for _ in range(drawn):
+        walk = Walk.draw(rng, steps)
+        _, key = walk.hashes(one[0], one[1])
+        _, other = walk.hashes(two[0], two[1])
+        order = np.argsort(key, kind="stable")
+        low = np.searchsorted(key[order], other, "left")
+        wide = np.searchsorted(key[order], other, "right") - low
+        row = np.repeat(np.arange(len(other)), wide)
+        at = order[np.arange(len(row)) + np.repeat(low - (np.cumsum(wide) - wide), wide)]
+        copy = two[2][row]
+        same = (one[2][at] == owner[copy]) & (np.abs(one[3][at] - two[3][row]) <= near[owner[copy]])
+        hits += np.bincount(copy[same], minlength=len(copies)) > 0
+    missed = np.ones(len(copies))  # the chance that as many walks, of those drawn, all miss
+    for count in range(1, MOST_WALKS + 1):
+        missed *= np.maximum(drawn - hits - count + 1, 0) / (drawn - count + 1)
+        if count > 1 and missed.reshape(len(chosen), COPIES).mean(axis=1).max() <= 1 - recall:
+            return count
+    return None
 
 
 def prepared(rows: list[tuple[int, str]], design_rate: float, recall: float) -> list[Items]:
-    """The items by class of length; empty ones are found nowhere."""
-    classes: dict[int, list[tuple[int, str]]] = {}
+    """The items by class of walks; empty ones are found nowhere.
+
+    Items with about as many windows are measured together. They take the longest walks of
+    which ``MOST_WALKS`` at most reach the recall; a class draws as many as its neediest take.
+    """
+    alike: dict[tuple[int, int], list[tuple[int, str]]] = {}
     for item, text in rows:
         text = normalised(text)
         if text:
-            steps = next((s for s in STEPS if s <= len(text.encode()) / 1.5), STEPS[-1])
-            classes.setdefault(steps, []).append((item, text))
+            octets = text.encode()
+            longest = next((s for s in STEPS if s <= len(octets) / 1.5), STEPS[-1])
+            windows = len(_laid([octets], longest)[1])
+            alike.setdefault((longest, int(8 * math.log2(windows)) // 2), []).append((item, text))
+    classes: dict[int, list[tuple[int, str]]] = {}
+    counts: dict[int, int] = {0: 0}
+    for (longest, windows), part in sorted(alike.items()):
+        rng = np.random.default_rng([longest, windows])
+        for steps in STEPS[STEPS.index(longest) :]:
+            count = walks_needed([t for _, t in part], steps, design_rate, recall, rng)
+            if count:
+                break
+        else:
+            steps, count = 0, 0
+        classes.setdefault(steps, []).extend(part)
+        counts[steps] = max(counts.get(steps, 0), count)
     return [
-        Items.build([i for i, _ in part], [t for _, t in part], steps, design_rate, recall)
+        Items.build([i for i, _ in part], [t for _, t in part], steps, counts[steps])
         for steps, part in sorted(classes.items())
     ]
 
@@ -323,6 +373,10 @@ def _search(texts, group, items, most_edits):
         return []
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for part in items:
+        if part.exact:
+            tried = _everywhere(raw, part, most_edits)
+            _confirm(texts, group, raw, part, tried, best)
+            continue
         places, owners = part.candidates(octets, starts)
         # A window may lie before its text's begin by the letters that were edited away.
         slack = (np.array(part.sizes, np.int64) * most_edits).astype(np.int64)[owners]
@@ -335,27 +389,47 @@ def _search(texts, group, items, most_edits):
             begin = max(0, at * 16 - 2 * most)
             stop = at * 16 + 16 + part.sizes[item] + 2 * most
             tried.append((row, item, most, begin, raw[row][begin:stop].decode("utf-8", "ignore")))
-        may = part.sieve.passes(
-            np.array([t[1] for t in tried], np.int64),
-            [t[4] for t in tried],
-            np.array([t[2] for t in tried], np.int64),
-        )
-        for row, item, most, begin, region in (t for t, passed in zip(tried, may) if passed):
-            text = part.texts[item]
-            key = (group[row], part.ids[item])
-            known = best.get(key)
-            if known and known[0] == 0:
-                continue
-            hit = edit_end(text, region, most if known is None else min(most, known[0] - 1))
-            if hit:
-                distance, end = hit
-                back = edit_end(text[::-1], region[:end][::-1], distance)
-                start = end - (back[1] if back else len(text))
-                lead = len(raw[row][:begin].decode("utf-8", "ignore"))
-                best[key] = (distance, lead + start, lead + end)
+        _confirm(texts, group, raw, part, tried, best)
     return [(row, item, *found) for (row, item), found in sorted(best.items())]
 
 
+def _everywhere(raw: list[bytes], part: Items, most_edits: float):
+    """Regions of all rows that hold every place where an item may be, one item's at a time."""
+    tried = []
+    for row, text in enumerate(raw):
+        widest = 1 if text.isascii() else 4  # bytes of a letter
+        for item, own in enumerate(part.texts):
+            most = int(most_edits * len(own))
+            # Letters that are not the item's own may be wider than its letters.
+            longest = (len(own) + most) * widest
+            for begin in range(0, max(1, len(text)), longest):
+                region = text[begin : begin + 2 * longest].decode("utf-8", "ignore")
+                tried.append((row, item, most, begin, region))
+    return tried
+
+
+def _confirm(texts, group, raw, part: Items, tried, best) -> None:
+    """Puts the nearest place of each tried (row, item) into ``best``, if it is near enough."""
+    may = part.sieve.passes(
+        np.array([t[1] for t in tried], np.int64),
+        [t[4] for t in tried],
+        np.array([t[2] for t in tried], np.int64),
+    )
+    for row, item, most, begin, region in (t for t, passed in zip(tried, may) if passed):
+        text = part.texts[item]
+        key = (group[row], part.ids[item])
+        known = best.get(key)
+        if known and known[0] == 0:
+            continue
+        hit = edit_end(text, region, most if known is None else min(most, known[0] - 1))
+        if hit:
+            distance, end = hit
+            back = edit_end(text[::-1], region[:end][::-1], distance)
+            start = end - (back[1] if back else len(text))
+            lead = len(raw[row][:begin].decode("utf-8", "ignore"))
+            best[key] = (distance, lead + start, lead + end)
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -365,15 +439,15 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     most_edits: float = 0.2,
-    design_rate: float = 0.1,
+    design_rate: float | None = None,
     recall: float = 0.99,
 ) -> DataFrame:
     """(id, uid, item_id, distance, start, stop) for each item found in a row of ``docs``.
 
     Found means: a substring of the normalised text (lower case, single blanks) is within
     ``most_edits`` of the item's length in edits. Start and stop are places in that text.
-    Copies with ``design_rate`` of their letters edited are found with probability
-    ``recall`` at least, nearer ones more surely; what is given is always exact. ``uid``
+    Copies with ``design_rate`` of their letters edited, by default ``most_edits``, are found
+    with probability ``recall`` at least, nearer ones more surely; what is given is always exact. ``uid``
     hashes id and text. Whole texts are searched. NULL, empty and blank texts and items
     match nothing; repeated rows and items are found each; NULL ids stay NULL; no other
     column is read.
@@ -382,6 +456,7 @@ def contaminated(
     the documents. There is no shuffle.
     """
     spark = docs.sparkSession
+    design_rate = most_edits if design_rate is None else design_rate
     wanted = benchmark.select(
         F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")
     ).where(F.col("text").isNotNull())

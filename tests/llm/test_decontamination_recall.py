@@ -1,0 +1,72 @@
+"""Copies of benchmark items as far away as a copy may be."""
+
+import pickle
+import random
+
+import numpy as np
+from tableloom.llm import decontamination as d
+
+
+def copied(text, edits, rng):
+    letters = list(text)
+    for place in rng.sample(range(len(text)), edits):
+        letters[place] = rng.choice(["", "e", letters[place] + "t"])
+    return "".join(letters)
+
+
+def test_copies_at_the_limit_reach_the_target_recall(spark, tables):
+    rows = spark.read.parquet(f"{tables}/benchmark.parquet").collect()
+    items = [(r["item_id"], d.normalised(r["text"])) for r in rows]
+    docs = [r["text"] for r in spark.read.parquet(f"{tables}/documents.parquet").limit(60).collect()]
+    docs = [" ".join(d.normalised(t).split()[:200]) for t in docs]
+    rng = random.Random(9)
+    made, expected = [], set()
+    for n in range(600):
+        item, text = items[n % len(items)]
+        host = docs[n % len(docs)]
+        cut = host.find(" ", len(host) // 2) + 1
+        made.append(d.normalised(host[:cut] + copied(text, int(0.2 * len(text)), rng) + " " + host[cut:]))
+        if d.edit_end(text, made[-1], int(0.2 * len(text))):
+            expected.add((n, item))
+    assert len(expected) > 500
+    prepared = d.prepared(items, 0.2, 0.99)
+    hits = {(row, item) for row, item, *_ in d.search(made, prepared, 0.2)}
+    assert len(hits & expected) >= 0.98 * len(expected)
+
+
+def test_the_limit_is_what_walks_are_drawn_for(documents, spark, monkeypatch):
+    rates = []
+    monkeypatch.setattr(d, "prepared", lambda rows, rate, recall: rates.append(rate) or [])
+    bench = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")
+    d.contaminated(documents([(1, "a")]), bench)
+    d.contaminated(documents([(1, "a")]), bench, most_edits=0.3)
+    assert rates == [0.2, 0.3]
+
+
+def test_items_that_no_walk_finds_surely_are_compared_everywhere():
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    items = [(i, "".join(rng.choice(letters) for _ in range(40))) for i in range(6)]  # one window each
+    assert d.walks_needed([t for _, t in items], 24, 0.2, 0.99, np.random.default_rng(0)) is None
+    prepared = d.prepared(items, 0.2, 0.99)
+    assert [part.exact for part in prepared] == [True]
+    texts, expected = [], set()
+    for n in range(60):
+        item, text = items[n % 6]
+        lead = "é" * (n % 7) + "".join(rng.choice(letters + " ") for _ in range(rng.randrange(200)))
+        texts.append(d.normalised(lead + copied(text, rng.randrange(9), rng) + " zz" * rng.randrange(30)))
+    for n, text in enumerate(texts):
+        for item, own in items:
+            if hit := d.edit_end(own, text, 8):
+                expected.add((n, item, hit[0]))
+    assert len(expected) >= 55
+    assert {h[:3] for h in d.search(texts, prepared, 0.2)} == expected
+
+
+def test_sent_items_find_the_same():
+    item = "one two three four five six seven eight nine ten eleven twelve and some more words"
+    items = d.prepared([(1, item)], 0.2, 0.99)
+    sent = pickle.loads(pickle.dumps(items))
+    assert all((x == y).all() for a, b in zip(items, sent) for p, q in zip(a.filters, b.filters) for x, y in zip(p, q))
+    texts = ["before " + item.replace("four", "fuor") + " after"]
+    assert d.search(texts, sent, 0.2) == d.search(texts, items, 0.2) != []
