@@ -19,7 +19,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All documents, each line of some length in one of them only; n_chars follows the text."""
+    """All documents, each line with a letter or digit in one of them only; n_chars follows the text."""
     left = dedup_lines(docs).select(*docs.columns)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
