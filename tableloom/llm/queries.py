@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +11,15 @@ from tableloom.llm import quality_neighbours, suffix_tree, toxicity, url_rules
 from tableloom.llm.common import fold_of, table
 from tableloom.llm.decontamination import contaminated
 from tableloom.llm.line_dedup import dedup_lines
+from tableloom.llm.merkle import manifest
 from tableloom.llm.mixing import mix
+from tableloom.llm.oracles import ORACLES  # noqa: F401
 from tableloom.llm.quality_rules import judge
 from tableloom.llm.simhash import near_duplicates
 from tableloom.llm.token_counts import token_counts
+from tableloom.llm.whitening import whitened
 
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,8 +28,14 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", "distance", "start", "stop")
 
 
-def op2_token_counts(spark: SparkSession, folder: str, tokenizer: str = TOKENIZER) -> DataFrame:
+def op2_token_counts(
+    spark: SparkSession, folder: str, tokenizer: str | None = None
+) -> DataFrame:
     """Bytes and tokens of every document."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path(TOKENIZER)
     with open(tokenizer, encoding="utf-8") as file:  # a file of the driver, sent along
         definition = file.read()
     return token_counts(table(spark, folder, "documents"), definition, limit=512).select(
@@ -128,6 +136,33 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return left.select("doc_id", "text", "n_lines", "dropped")
 
 
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots and proof of every document, checked against a copy that lost line breaks."""
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    tampered = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = manifest(
+        table(spark, folder, "documents"), LEAF_FIELDS, altered={"text": tampered}
+    )
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.col("proof").alias("proof_sha256"),
+        F.col("folded").alias("folded_root"),
+        "verified",
+    )
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The first four whitened components of every usable embedding."""
+    found = whitened(table(spark, folder, "embeddings"), components=4, scale=256)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -139,6 +174,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_neighbours": op8_quality_neighbours,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_line_dedup": op10_line_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
-
-ORACLES: dict[str, str] = {}

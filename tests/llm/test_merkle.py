@@ -1,0 +1,148 @@
+"""The Merkle manifest against a plain one that hashes every node from scratch."""
+
+import hashlib
+import zlib
+
+import duckdb
+from pyspark.sql import functions as F
+
+from tableloom.llm import merkle, queries
+from tableloom.llm.oracles import ORACLES
+
+from .conftest import DOCS, ODD
+
+FIELDS = queries.LEAF_FIELDS
+
+
+def digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def plain_leaf(row):
+    parts = []
+    for value in row:
+        text = None if value is None else str(value)
+        parts.append("-" if text is None else f"{len(text.encode())}:{text}")
+    return digest(*parts)
+
+
+def plain_tree(nodes, fan_out=3):
+    """The root, and each node's (siblings before, siblings after) level by level."""
+    steps, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for k, p in enumerate(at):
+            first = p - p % fan_out
+            steps[k].append((nodes[first:p], nodes[p + 1 : first + fan_out]))
+            at[k] = p // fan_out
+        nodes = [digest(*nodes[i : i + fan_out]) for i in range(0, len(nodes), fan_out)]
+    return nodes[0], steps
+
+
+def plain_manifest(rows, fan_out=3):
+    """{doc_id: columns} of rows (doc_id, source, lang, n_chars, text)."""
+    groups = {}
+    for row in rows:
+        groups.setdefault(row[1], []).append(row)
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees, order = {}, {}
+    for name in names:
+        order[name] = sorted(groups[name], key=lambda r: (r[0] is not None, r[0] or 0, plain_leaf(r)))
+        trees[name] = plain_tree([plain_leaf(r) for r in order[name]], fan_out)
+    root, tops = plain_tree([trees[name][0] for name in names], fan_out)
+    out = []
+    for name, top in zip(names, tops):
+        for row, steps in zip(order[name], trees[name][1]):
+            text = row[4]
+            if row[0] is not None and text is not None and zlib.crc32(str(row[0]).encode()) % 2 == 0:
+                text = text.replace("\n", "")
+            node = plain_leaf((*row[:4], text))
+            proof = ""
+            for left, right in steps + top:
+                node = digest(*left, node, *right)
+                proof += "".join(left + right)
+            out.append((row[0], plain_leaf(row), trees[name][0], root, digest(proof), node, node == root))
+    return sorted(out, key=repr)
+
+
+def results(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def of(df, **options):
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    text = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(df, FIELDS, altered={"text": text}, **options)
+
+
+def test_query_equals_plain_version(spark, tables):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    rows = [tuple(r) for r in docs.select(*FIELDS).collect()]
+    got = queries.op11_merkle_manifest(spark, tables)
+    assert got.columns == [
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified",
+    ]
+    assert results(got) == plain_manifest(rows)
+    assert 0 < got.where("verified").count() < got.count()
+
+
+def test_query_equals_its_sql(spark, tables):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{tables}/documents.parquet'")
+    names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    expected = con.execute(ORACLES["op11_merkle_manifest"]).df()[names]
+    got = queries.op11_merkle_manifest(spark, tables).select(*names).toPandas()
+    assert sorted(map(tuple, got.values)) == sorted(map(tuple, expected.values))
+
+
+def test_many_blocks_and_passes(spark):
+    rows = [(i, None if i % 11 == 0 else f"s{i % 5}", "en", 3, f"a\n{i}") for i in range(150)]
+    rows += [(1000 + i, "hot", "en", 3, f"a\n{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    assert results(of(df.repartition(7), shape=merkle.Shape(3, 2))) == plain_manifest(rows)
+
+
+def test_many_sources_and_another_fan_out(spark):
+    rows = [(i, f"s{i % 40}é", None, None, "x\ny") for i in range(130)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    assert results(of(df, shape=merkle.Shape(2, 5))) == plain_manifest(rows, 2)
+
+
+def test_every_field_counts_and_nulls_differ_from_texts(spark):
+    rows = [(1, "a", "b", 1, "t"), (1, None, "b", 1, "t"), (1, "a", None, 1, "t"),
+            (1, "a", "b", None, "t"), (1, "a", "b", 1, None), (1, "a", "b", 1, "-"),
+            (1, "a", "b", 1, ""), (None, "a", "b", 1, "t"), (11, "", "b", 1, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
+    got = of(df)
+    assert results(got) == plain_manifest(rows)
+    assert got.select("leaf").distinct().count() == len(rows)
+
+
+def test_odd_texts_and_clashing_names(spark, documents):
+    df = documents(list(enumerate(ODD)), "g pos digest other levels id part tie block")
+    rows = [tuple(r) for r in df.select(*FIELDS).collect()]
+    assert results(of(df)) == plain_manifest(rows)
+
+
+def test_equal_rows_have_equal_leaves_and_own_proofs(documents):
+    df = documents([(5, "same\ntext")] * 20 + [(6, "other")])
+    rows = [tuple(r) for r in df.select(*FIELDS).collect()]
+    got = of(df)
+    assert results(got) == plain_manifest(rows)
+    assert got.where("id = 5").select("leaf").distinct().count() == 1
+
+
+def test_one_row_and_no_row(spark, documents):
+    one = of(documents([(2, "only")])).collect()[0]
+    assert one["leaf"] == one["subroot"] == one["root"] == one["folded"]
+    assert one["proof"] == digest("") and one["verified"]
+    assert of(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_parent_resumes_from_its_states():
+    children = [digest(c).encode() for c in "abc"]
+    parent = merkle.Parent(children)
+    other = digest("z").encode()
+    for slot in range(3):
+        changed = children[:slot] + [other] + children[slot + 1 :]
+        assert parent.folded(slot, other) == merkle.Parent(changed).digest
+        assert parent.folded(slot, children[slot]) == parent.digest
