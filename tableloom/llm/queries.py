@@ -15,6 +15,7 @@ from tableloom.llm.merkle import manifest
 from tableloom.llm.mixing import mix
 from tableloom.llm.oracles import ORACLES  # noqa: F401
 from tableloom.llm.quality_rules import judge
+from tableloom.llm.sanitise import KINDS, listing, sanitised
 from tableloom.llm.simhash import near_duplicates
 from tableloom.llm.token_counts import token_counts
 from tableloom.llm.whitening import whitened
@@ -163,6 +164,21 @@ def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op13_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document, and the terms that give it away."""
+    found = sanitised(table(spark, folder, "documents"))
+    counts = [
+        F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        for kind in KINDS
+    ]
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *counts,
+        F.sha2(listing(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        listing(F.concat("base", "related")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -176,4 +192,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_private_data": op13_private_data,
 }
