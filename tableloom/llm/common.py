@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,23 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing will read again, and what led to it.
+
+    Shuffle files go when the driver collects its garbage; on its own it may do so only after
+    many more of them.
+    """
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        if "/tableloom/" not in path.toString():
+            raise ValueError(f"not a scratch table: {path.toString()}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def sent_if_small(small: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """``small`` marked for broadcasting if its counted rows fit ``BROADCAST_BYTES``.
 
