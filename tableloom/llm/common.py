@@ -33,11 +33,7 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete a table of ``written`` that nothing will read again, and what led to it.
-
-    Shuffle files go when the driver collects its garbage; on its own it may do so only after
-    many more of them.
-    """
+    """Delete a table of ``written`` that nothing will read again, and what led to it."""
     spark = df.sparkSession
     files = df.inputFiles()
     if files:
@@ -45,6 +41,14 @@ def forget(df: DataFrame) -> None:
         if "/tableloom/" not in path.toString():
             raise ValueError(f"not a scratch table: {path.toString()}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    cleared(spark)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are done.
+
+    They go when the driver collects its garbage, which on its own may be much later.
+    """
     gc.collect()
     spark._jvm.System.gc()
 

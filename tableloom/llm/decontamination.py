@@ -35,7 +35,7 @@ WORK_BYTES = 1 << 22  # of document text walked at once
 BLOCK_CHARS = 1 << 22  # of item text sent out at once
 MOST_WALKS = 16  # an item that needs more takes shorter walks; if none will do, it is searched exactly
 HARDEST, COPIES = 6, 40  # items of like length, and copies of each, that recall is measured on
-FILTER_BITS = 20
+FILTER_SHARE = 16  # bits of a filter per hash in it
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,7 +83,7 @@ class Walk:
                 key = (key + letter + np.uint64(1)) * _MIX
                 key ^= key >> np.uint64(29)
                 if filters is not None and taken:
-                    stays = filters[taken][key >> np.uint64(64 - FILTER_BITS)]
+                    stays = _among(filters[taken], key)
                     index, place = index[stays], place[stays]
                     key, letter = key[stays], letter[stays]
                 taken += 1
@@ -95,12 +95,24 @@ class Walk:
         out = []
         for taken in range(len(self.sampled)):
             part = Walk(self.moves, self.sampled[: taken + 1])
-            bits = np.zeros(1 << FILTER_BITS, bool)
-            bits[part.hashes(octets, starts)[1] >> np.uint64(64 - FILTER_BITS)] = True
-            out.append(bits)
+            out.append(_bits_of(part.hashes(octets, starts)[1]))
         return out
 
 
+def _bits_of(keys: np.ndarray) -> np.ndarray:
+    """A set of keys as bits by their first digits, packed, as many as the keys call for."""
+    digits = max(10, int(FILTER_SHARE * len(keys) - 1).bit_length())
+    bits = np.zeros(1 << digits, bool)
+    bits[keys >> np.uint64(64 - digits)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def _among(packed: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be in the set."""
+    slot = (keys >> np.uint64(64 - (8 * len(packed) - 1).bit_length())).astype(np.int64)
+    return (packed[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def edit_end(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     """(distance, end) of the substring of ``text`` nearest to ``pattern``, the first of equals.
 
@@ -154,9 +166,11 @@ class Sieve:
     def passes(self, owners: np.ndarray, texts: list[str], most: np.ndarray) -> np.ndarray:
         """Whether ``texts[i]`` may hold pattern ``owners[i]`` with ``most[i]`` edits."""
         out = np.zeros(len(texts), bool)
+        # Alike in size together, so that a step is not for the longest of all.
+        order = np.lexsort([[len(t) for t in texts], self.sizes[owners] // 64])
         for start in range(0, len(texts), 2048):
-            part = slice(start, start + 2048)
-            out[part] = self._least(owners[part], texts[part]) <= most[part]
+            part = order[start : start + 2048]
+            out[part] = self._least(owners[part], [texts[i] for i in part]) <= most[part]
         return out
 
     def _least(self, owners: np.ndarray, texts: list[str]) -> np.ndarray:
@@ -165,15 +179,16 @@ class Sieve:
         for i, text in enumerate(texts):  # beyond a text's end nothing is equal
             letters[: len(text), i] = letter_classes(text)
         sizes = self.sizes[owners]
-        top = np.zeros((self.words, len(texts)), np.uint64)
+        words = int(-(-sizes.max(initial=1) // 64))
+        top = np.zeros((words, len(texts)), np.uint64)
         top[(sizes - 1) // 64, np.arange(len(texts))] = one << ((sizes - 1) % 64).astype(np.uint64)
-        up = np.full((self.words, len(texts)), ~np.uint64(0))
-        down = np.zeros((self.words, len(texts)), np.uint64)
+        up = np.full((words, len(texts)), ~np.uint64(0))
+        down = np.zeros((words, len(texts)), np.uint64)
         score, least = sizes.copy(), sizes.copy()
         for row in letters:
-            equals = self.where[owners, row]
+            equals = self.where[owners, row, :words]
             more = less = np.zeros(len(texts), np.uint64)  # carried from word to word
-            for w in range(self.words):
+            for w in range(words):
                 equal, p, m = equals[:, w], up[w], down[w]
                 across = equal | m
                 equal = equal | less
@@ -221,15 +236,6 @@ class Items:
             items.offsets.append(offsets[order])
         return items
 
-    def __getstate__(self) -> dict:
-        """Filters are sent in an eighth of their size."""
-        packed = [[np.packbits(bits) for bits in own] for own in self.filters]
-        return self.__dict__ | {"filters": packed}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.filters = [[np.unpackbits(bits).view(bool) for bits in own] for own in self.filters]
-
     def candidates(self, octets: np.ndarray, starts: np.ndarray):
         """(place in ``octets`` where the item would begin, item) of all matching windows."""
         places, items = [], []
@@ -371,6 +377,7 @@ def _search(texts, group, items, most_edits):
     starts = window_starts(octets)
     if not len(starts):
         return []
+    lengths = np.array([len(r) for r in raw], np.int64)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for part in items:
         if part.exact:
@@ -379,20 +386,34 @@ def _search(texts, group, items, most_edits):
             continue
         places, owners = part.candidates(octets, starts)
         # A window may lie before its text's begin by the letters that were edited away.
-        slack = (np.array(part.sizes, np.int64) * most_edits).astype(np.int64)[owners]
+        sizes = np.array(part.sizes, np.int64)
+        slack = (sizes * most_edits).astype(np.int64)[owners]
         rows = np.searchsorted(first, places + np.minimum(slack, len(pad)), "right") - 1
         rows = np.maximum(rows, 0)
         near = (places - first[rows]) // 16
-        tried = []
-        for row, item, at in sorted(set(zip(rows.tolist(), owners.tolist(), near.tolist()))):
-            most = int(most_edits * len(part.texts[item]))
-            begin = max(0, at * 16 - 2 * most)
-            stop = at * 16 + 16 + part.sizes[item] + 2 * most
-            tried.append((row, item, most, begin, raw[row][begin:stop].decode("utf-8", "ignore")))
+        owners, rows, near = _different(owners, rows, near)
+        most = np.array([int(most_edits * len(t)) for t in part.texts], np.int64)
+        begins = np.maximum(0, near * 16 - 2 * most[owners])
+        stops = np.minimum(near * 16 + 16 + sizes[owners] + 2 * most[owners], lengths[rows])
+        tried = [
+            (row, item, int(most[item]), begin, raw[row][begin:stop].decode("utf-8", "ignore"))
+            for row, item, begin, stop in zip(*(x.tolist() for x in (rows, owners, begins, stops)))
+        ]
         _confirm(texts, group, raw, part, tried, best)
     return [(row, item, *found) for (row, item), found in sorted(best.items())]
 
 
+def _different(owners: np.ndarray, rows: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different (owner, row, near), by row and item."""
+    if not len(rows):
+        return owners, rows, near
+    low = near.min()
+    wide, items = int(near.max() - low) + 1, int(owners.max()) + 1
+    key = np.unique((rows * items + owners) * wide + (near - low))
+    near, key = key % wide + low, key // wide
+    return key % items, key // items, near
+
+
 def _everywhere(raw: list[bytes], part: Items, most_edits: float):
     """Regions of all rows that hold every place where an item may be, one item's at a time."""
     tried = []
