@@ -13,8 +13,12 @@ from tableloom.operators.inspect import (
 )
 from tableloom.operators.rows import first_rows, replicate, spread, union_by_name, union_rows
 from tableloom.operators.shape import conform, midpoint_and_copies, rename_positional
+from tableloom.operators.typed import NoCommonType, common_schema, common_type, union_typed
 
 __all__ = [
+    "NoCommonType",
+    "common_schema",
+    "common_type",
     "conform",
     "first_rows",
     "midpoint_and_copies",
@@ -32,6 +36,7 @@ __all__ = [
     "spread",
     "union_by_name",
     "union_rows",
+    "union_typed",
     "where_equal",
     "where_in",
     "where_scalar",

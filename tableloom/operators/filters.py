@@ -39,7 +39,8 @@ def where_in(df: DataFrame, column: str, keys: DataFrame, *, unique: bool = Fals
     key = _own(keys.columns[0])
     keys = keys.where(key.isNotNull())
     if not unique:
-        keys = keys.select(key, F.xxhash64(key).alias("__hash")).distinct().select(key)
+        mark = "_hash" if keys.columns[0].lower() == "__hash" else "__hash"
+        keys = keys.select(key, F.xxhash64(key).alias(mark)).distinct().select(key)
     return df.where(_own(column).isNotNull() & _own(column).isin(keys))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import DateType, DoubleType, StringType, StructField, StructType
 
 from tableloom.functions import composite_id, item, nested_fields, split_item
-from tableloom.operators import conform, union_by_name
+from tableloom.operators import conform, spread, union_by_name
 
 # The columns of the common shape. Both sides are cast to its types,
 # so types inferred for the two files need not agree.
@@ -38,16 +38,24 @@ PLACES = StructType(
 
 
 def from_flat(
-    df: DataFrame, county: str, rename: Mapping[str, str], target: StructType = PLACES
+    df: DataFrame,
+    county: str,
+    rename: Mapping[str, str],
+    target: StructType = PLACES,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """A flat register: columns renamed, county and id added, the rest dropped or NULL."""
-    return conform(
+    """A flat register: columns renamed, county and id added, the rest dropped or NULL.
+
+    ``partitions`` deals the rows out evenly, for a register in few files.
+    """
+    places = conform(
         df,
         rename=rename,
         constants={"county": county},
         derive={"id": composite_id("state", "county", "datasetId")},
         target=target,
     )
+    return places if partitions is None else spread(places, partitions)
 
 
 def from_nested(

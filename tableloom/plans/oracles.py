@@ -38,8 +38,13 @@ _FIELDS = {
     "geolocation": _LOCATION,
     "id": "bigint",
     "opening_date": "string",
+    "premise_address1": "string",
+    "premise_address2": "string",
+    "premise_city": "string",
     "premise_name": "string",
+    "premise_phone": "string",
     "premise_state": "string",
+    "premise_zip": "string",
     "type_description": "string",
 }
 _FIELD_TREE = [
@@ -49,6 +54,12 @@ _FIELD_TREE = [
     ("recordid", "string"),
 ]
 
+# Fields that are not in every record.
+_PRESENT = {
+    "fields.geolocation": "count(*) FILTER (event_type <> 'error')",
+    "fields.premise_address2": "count(*) FILTER (event_id % 2 = 0)",
+}
+
 ORACLES: dict[str, str] = {
     "project_columns": "SELECT doc_id, lang FROM documents",
     "sql_over_view": "SELECT * FROM customer",
@@ -194,25 +205,104 @@ ORACLES: dict[str, str] = {
     "json_project_csv": "SELECT doc_id, lang FROM documents",
     "word_count_files": _WORDS,
     "county_union": """
-        SELECT o_orderstatus || '_Wake_' || o_orderkey AS id,
-               cast(o_orderkey AS varchar) AS "datasetId", cast(o_custkey AS varchar) AS name,
-               cast(NULL AS varchar) AS address1, cast(NULL AS varchar) AS address2,
-               cast(NULL AS varchar) AS city, o_orderstatus AS state,
-               cast(NULL AS varchar) AS zip, cast(NULL AS varchar) AS tel,
+        SELECT o_orderstatus || '_Wake_H' || o_orderkey AS id,
+               'H' || o_orderkey AS "datasetId", 'Customer ' || o_custkey AS name,
+               o_custkey || ' Main St, Side A' AS address1,
+               CASE WHEN o_orderkey % 3 = 0 THEN 'Unit ' || o_orderkey % 10 END AS address2,
+               'City ' || o_custkey % 7 AS city, o_orderstatus AS state,
+               cast(27000 + o_custkey % 1000 AS varchar) AS zip, '919-' || o_custkey AS tel,
                strftime(o_orderdate, '%Y-%m-%d') AS "dateStart", cast(NULL AS varchar) AS "dateEnd",
-               o_orderpriority AS type, o_totalprice AS "geoX", cast(NULL AS double) AS "geoY",
+               o_orderpriority AS type, o_totalprice AS "geoX", -o_totalprice AS "geoY",
                'Wake' AS county
         FROM orders
         UNION ALL
         SELECT 'NC_Durham_' || event_id, cast(event_id AS varchar), 'User ' || user_id,
-               NULL, NULL, NULL, 'NC', NULL, NULL,
-               strftime(ts, '%Y-%m-%d'), strftime(ts, '%Y-%m-%d'),
+               user_id || ' Oak Ave', CASE WHEN event_id % 2 = 0 THEN 'Rear' END,
+               'Town ' || user_id % 5, 'NC', '0' || (user_id % 90 + 1000), '(919) ' || user_id,
+               strftime(ts, '%Y-%m-%d'),
+               strftime(cast(ts AS date) + cast(event_id % 29 + 1 AS int), '%Y-%m-%d'),
                CASE WHEN event_type <> 'click' THEN event_type END,
                CASE WHEN event_type <> 'error' THEN value END,
                CASE WHEN event_type <> 'error' THEN cast(user_id AS double) END,
                'Durham'
         FROM events
     """,
+    "typed_union": """
+        SELECT cast(c_custkey AS varchar) AS key, cast(c_nationkey AS varchar) AS nation,
+               c_mktsegment AS segment, cast(NULL AS varchar) AS label,
+               cast(c_nationkey AS double) AS rank, cast(c_nationkey AS varchar) AS codes
+        FROM customer
+        UNION ALL
+        SELECT 'S-' || s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN cast(s_nationkey AS varchar) END,
+               NULL, CASE WHEN s_suppkey % 2 = 0 THEN s_name END, s_acctbal, NULL
+        FROM supplier
+        UNION ALL
+        SELECT cast(p_partkey AS varchar), NULL, NULL, NULL, NULL, p_partkey || ',none' FROM part
+    """,
+    "malformed_rows": """
+        WITH judged AS (
+            SELECT *, o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 OR o_orderkey % 13 = 0 AS bad,
+                   CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE '' END || o_orderkey
+                       || ',' || o_orderstatus AS start
+            FROM orders)
+        SELECT 'good' AS kind, cast(o_orderkey AS varchar) AS row, o_totalprice,
+               (SELECT count(*) FROM judged WHERE NOT bad) AS n
+        FROM judged WHERE NOT bad
+        UNION ALL
+        SELECT 'bad',
+               start || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE ',' || o_totalprice END
+                   || CASE WHEN o_orderkey % 13 = 0 AND o_orderkey % 11 <> 0 THEN ',more' ELSE '' END,
+               NULL, (SELECT count(*) FROM judged WHERE bad)
+        FROM judged WHERE bad
+    """,
+    "record_texts": "SELECT * FROM documents",
+    "record_timestamps": "SELECT * FROM events",
+    "json_schema_aggregate": " UNION ALL ".join(
+        f"SELECT '{name}' AS field, '{kind}' AS type, {_PRESENT.get(name, 'count(*)')} AS n FROM events"
+        for name, kind in _FIELD_TREE
+    ),
+    "counts_while_writing": """
+        WITH counted AS (
+            SELECT count(*) AS a, count(*) FILTER (o_orderstatus = 'O') AS b,
+                   count(*) FILTER (o_orderstatus = 'O' AND o_orderpriority = '1-URGENT') AS c
+            FROM orders)
+        SELECT 0 AS step, 'load' AS phase, a AS rows_in, a AS rows_out, 0::bigint AS dropped FROM counted
+        UNION ALL SELECT 1, 'open', a, b, a - b FROM counted
+        UNION ALL SELECT 2, 'urgent', b, c, b - c FROM counted
+        UNION ALL SELECT 3, 'write', c, c, 0 FROM counted
+    """,
+    "files_of_equal_bytes": """
+        SELECT 5::bigint AS files, count(*) AS rows, true AS within_a_row FROM documents
+    """,
+    "schema_as_json": " UNION ALL ".join(
+        f"SELECT '{name}' AS name, '{kind}' AS type, true AS nullable, count({name}) AS n FROM orders"
+        for name, kind in zip(
+            _ORDER_COLUMNS, ["long", "long", "string", "double", "timestamp_ntz", "string"]
+        )
+    ),
+    "partitions_two_levels": """
+        SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS state,
+               o_orderpriority || '/=+% é' AS kind, count(*) AS n
+        FROM orders GROUP BY ALL
+    """,
+    "partitions_pruned_by_subquery": """
+        SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders
+        WHERE o_orderstatus = 'O' AND o_orderpriority IN (
+            SELECT o_orderpriority FROM orders WHERE o_orderpriority LIKE '1%')
+    """,
+    "bucketed_in_filter": f"SELECT * FROM orders WHERE o_custkey IN ({_CUSTOMERS_OF_REGION})",
+    "bucket_details": """
+        SELECT 'parquet' AS provider, 'MANAGED' AS kind, 4 AS buckets,
+               'l_orderkey,l_linenumber' AS bucket_columns, 'l_orderkey' AS sort_columns,
+               count(*) AS n, 4::bigint AS files
+        FROM lineitem
+    """,
+    "metastore_sql": " UNION ALL ".join(
+        f"SELECT {i} AS integer_idx, '{name}' AS column_name, '{kind}' AS type_name,"
+        f" count({name}) AS n, {dict(o_custkey=1, o_orderkey=0).get(name, -1)} AS bucket_idx"
+        " FROM orders"
+        for i, (name, kind) in enumerate(_ORDER_COLUMNS.items())
+    ),
     "external_text_table": "SELECT * FROM orders",
     "external_text_table_char": """
         SELECT cast(c_custkey AS int) AS num, rpad(c_name, 100, ' ') AS name,

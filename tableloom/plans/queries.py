@@ -34,10 +34,12 @@ from tableloom.operators import (
     replace_values,
     replicate,
     row_count,
+    schema_json,
     schema_rows,
     spread,
     union_by_name,
     union_rows,
+    union_typed,
     where_equal,
     where_in,
     where_scalar,
@@ -47,10 +49,14 @@ from tableloom.plans import county_union as counties
 from tableloom.plans import json_to_csv, word_count
 from tableloom.plans.phases import enlarge_and_derive
 from tableloom.plans.staging import (
+    FLAT_NAMES,
     NESTED_EVENTS,
+    NESTED_NAMES,
     ROWS_PER_FILE,
     TEXTS_PER_FILE,
     csv_copy,
+    flat_orders,
+    flawed_orders,
     json_copy,
     nested_events,
     new_database,
@@ -59,8 +65,27 @@ from tableloom.plans.staging import (
     table_path,
 )
 from tableloom.session import new_scratch
-from tableloom.sinks import insert_frame, insert_rows, write_csv
-from tableloom.sources import read_csv, read_json, read_lines, rows_to_frame
+from tableloom.sinks import (
+    insert_frame,
+    insert_rows,
+    read_records,
+    spread_by_bytes,
+    text_bytes,
+    write_csv,
+    write_records,
+)
+from tableloom.sources import (
+    Counted,
+    json_variants,
+    part_rows,
+    read_checked,
+    read_csv,
+    read_json,
+    read_lines,
+    rows_to_frame,
+    variant_fields,
+    variant_schema,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -382,8 +407,10 @@ def rows_of_all_partitions(spark: SparkSession, folder: str) -> DataFrame:
     dealt = table(spark, folder, "lineitem").repartition(6, "l_linenumber")
     sizes = partition_sizes(dealt)
     keys = dealt.groupBy(F.spark_partition_id().alias("partition"), "l_linenumber").count()
-    held = keys.join(sizes, "partition")
-    return held.select("l_linenumber", F.col("count").alias("n"), (F.col("n") >= F.col("count")).alias("held"))
+    summed = keys.groupBy("partition").agg(F.sum("count").alias("all"))
+    held = keys.join(sizes, "partition").join(summed, "partition")
+    exact = (sizes["n"] == F.col("all")).alias("held")
+    return held.select("l_linenumber", F.col("count").alias("n"), exact)
 
 
 @query("rows_to_frame")
@@ -499,33 +526,12 @@ def word_count_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("county_union")
 def county_union(spark: SparkSession, folder: str) -> DataFrame:
+    path, schema = flat_orders(spark, folder)
     flat = counties.from_flat(
-        read_csv(
-            spark,
-            csv_copy(spark, folder, "orders", header=True),
-            header=True,
-            schema=table(spark, folder, "orders").schema,
-        ),
-        "Wake",
-        rename={
-            "o_orderkey": "datasetId",
-            "o_custkey": "name",
-            "o_orderstatus": "state",
-            "o_totalprice": "geoX",
-            "o_orderdate": "dateStart",
-            "o_orderpriority": "type",
-        },
+        read_csv(spark, path, header=True, schema=schema), "Wake", FLAT_NAMES, partitions=4
     )
     nested = counties.from_nested(
-        read_json(spark, nested_events(spark, folder), schema=NESTED_EVENTS),
-        "Durham",
-        fields={
-            "datasetId": "id",
-            "name": "premise_name",
-            "state": "premise_state",
-            "dateStart": "opening_date",
-            "dateEnd": "closing_date",
-        },
+        read_json(spark, nested_events(spark, folder), schema=NESTED_EVENTS), "Durham", NESTED_NAMES
     )
     places = counties.county_union(flat, nested)
     return places.withColumns(
@@ -533,6 +539,120 @@ def county_union(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("typed_union")
+def typed_union(spark: SparkSession, folder: str) -> DataFrame:
+    """Three registers with other types and other nested fields, united without a target."""
+    customers = table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("int").alias("key"),
+        F.struct(
+            F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")
+        ).alias("place"),
+        F.array("c_nationkey").alias("codes"),
+        F.col("c_nationkey").cast("smallint").alias("rank"),
+    )
+    suppliers = table(spark, folder, "supplier").select(
+        F.col("s_acctbal").alias("rank"),
+        F.concat(F.lit("S-"), "s_suppkey").alias("key"),
+        F.when(
+            F.col("s_suppkey") % 2 == 0,
+            F.struct(F.col("s_nationkey").cast("bigint").alias("nation"), F.col("s_name").alias("label")),
+        ).alias("place"),
+    )
+    parts = table(spark, folder, "part").select(
+        F.col("p_partkey").alias("key"),
+        F.array(F.col("p_partkey"), F.lit(None).cast("bigint")).alias("codes"),
+        F.lit(None).alias("rank"),
+    )
+    united = union_typed(customers, suppliers, parts)
+    return united.select(
+        "key",
+        F.col("place.nation").cast("string").alias("nation"),
+        "place.segment",
+        "place.label",
+        "rank",
+        F.array_join("codes", ",", "none").alias("codes"),
+    )
+
+
+@query("malformed_rows")
+def malformed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Good orders and the text of bad ones, written apart in one pass, with their counts."""
+    read = read_checked(
+        spark,
+        flawed_orders(spark, folder),
+        "o_orderkey bigint, o_orderstatus string, o_totalprice double",
+    )
+    parted = part_rows(read, new_scratch(spark, "parted-orders"))
+    counts = rows_to_frame(spark, list(parted.counts.items()), "kind string, n bigint")
+    good = parted.good.select(
+        F.lit("good").alias("kind"), F.col("o_orderkey").cast("string").alias("row"), "o_totalprice"
+    )
+    bad = parted.bad.select(F.lit("bad").alias("kind"), F.col("malformed").alias("row"))
+    rows = good.unionByName(bad, allowMissingColumns=True)
+    return rows.join(counts, "kind")
+
+
+@query("record_texts")
+def record_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents through text files of one record per line."""
+    documents = table(spark, folder, "documents")
+    path = new_scratch(spark, "record-texts")
+    write_records(documents, path)
+    return read_records(spark, path, documents.schema)
+
+
+@query("record_timestamps")
+def record_timestamps(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events")
+    path = new_scratch(spark, "record-events")
+    write_records(events, path, sep="|")
+    return read_records(spark, path, events.schema, sep="|")
+
+
+@query("json_schema_aggregate")
+def json_schema_aggregate(spark: SparkSession, folder: str) -> DataFrame:
+    """The fields of a nested register as all its records have them, and the values present."""
+    records = json_variants(spark, nested_events(spark, folder))
+    schema = variant_schema(records)
+    found = schema_rows(spark.createDataFrame([], schema))
+    rows = records.select(*variant_fields(schema))
+    names = [r["field"] for r in found.select("field").toLocalIterator()]  # one per field
+    present = rows.agg(*(F.count(F.col(name)).alias(name) for name in names))
+    counted = present.unpivot([], [F.col(f"`{n}`") for n in names], "field", "n")
+    return found.join(counted, "field").select("field", "type", "n")
+
+
+@query("counts_while_writing")
+def counts_while_writing(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows in, out and dropped per step of a job, counted by the pass that writes its result."""
+    counted = Counted()
+    orders = counted.step(table(spark, folder, "orders"), "load")
+    opened = counted.step(where_equal(orders, o_orderstatus="O"), "open")
+    urgent = counted.step(where_equal(opened, o_orderpriority="1-URGENT"), "urgent")
+    kept = counted.step(conform(urgent, drop=["o_orderstatus", "o_orderpriority"]), "write")
+    write_records(kept, new_scratch(spark, "counted-orders"))
+    return counted.rows(spark)
+
+
+@query("files_of_equal_bytes")
+def files_of_equal_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in five files of equal bytes: how many files and rows, and how even they are."""
+    documents = table(spark, folder, "documents")
+    path = new_scratch(spark, "equal-files")
+    write_records(spread_by_bytes(documents, 5), path)
+    written = read_records(spark, path, documents.schema)
+    files = written.groupBy(F.input_file_name().alias("file")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(text_bytes(written)).alias("size"),
+        F.max(text_bytes(written)).alias("widest"),
+    )
+    share = F.sum("size") / 5 + F.max("widest")
+    return files.agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("n").alias("rows"),
+        (F.max("size") <= share).alias("within_a_row"),
+    )
+
+
 # --- catalog ----------------------------------------------------------------
 
 
@@ -611,12 +731,12 @@ def catalog_databases(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("list_databases")
 def list_databases(spark: SparkSession, folder: str) -> DataFrame:
-    """A database made for each region, as the catalog lists them, with the region's nations."""
+    """Five databases as the catalog lists them, with the nations of the region of that number."""
     label = "region_" + uuid.uuid4().hex
     nations = table(spark, folder, "nation").groupBy("n_regionkey").count()
-    for row in table(spark, folder, "region").select("r_regionkey").toLocalIterator():
-        path = new_scratch(spark, f"{label}_{row[0]}")
-        catalog.create_database(spark, f"{label}_{row[0]}", path)
+    for number in range(5):
+        path = new_scratch(spark, f"{label}_{number}")
+        catalog.create_database(spark, f"{label}_{number}", path)
     listed = catalog.databases(spark).where(F.col("namespace").startswith(label))
     key = F.regexp_extract("namespace", "_([0-9]+)$", 1).cast("bigint").alias("n_regionkey")
     return listed.select(key).join(nations, "n_regionkey", "left")
@@ -630,7 +750,7 @@ def catalog_tables(spark: SparkSession, folder: str) -> DataFrame:
         catalog.create_file_table(
             spark, f"`{database}`.{name}", "parquet", table_path(folder, name)
         )
-    listed = [row.tableName for row in catalog.tables(spark, database).collect()]
+    listed = [found.name for found in spark.catalog.listTables(database) if not found.isTemporary]
     return union_by_name(
         *(
             row_count(spark.table(f"`{database}`.{name}")).select(
@@ -671,3 +791,118 @@ def catalog_storage(spark: SparkSession, folder: str) -> DataFrame:
 def schema_as_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The field tree that schema inference finds by reading all of a nested JSON file."""
     return schema_rows(read_json(spark, nested_events(spark, folder)))
+
+
+@query("schema_as_json")
+def schema_as_json(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns that a frame's schema names as JSON, and the values present in each."""
+    orders = table(spark, folder, "orders")
+    kind = "fields array<struct<name string, type string, nullable boolean>>"
+    read = spark.range(1).select(F.from_json(F.lit(schema_json(orders)), kind).alias("schema"))
+    listed = read.select(F.inline("schema.fields"))
+    present = orders.agg(*(F.count(c).alias(c) for c in orders.columns))
+    counted = present.unpivot([], orders.columns, "name", "n")
+    return listed.join(counted, "name").select("name", "type", "nullable", "n")
+
+
+@query("partitions_two_levels")
+def partitions_two_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """The partitions listed for two levels, NULL and escaped names among them, and their rows."""
+    name = f"`{new_database(spark, 'levels')}`.orders"
+    orders = table(spark, folder, "orders").withColumns(
+        {
+            "state": F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")),
+            "kind": F.concat(F.col("o_orderpriority"), F.lit("/=+% é")),
+        }
+    )
+    catalog.create_partitioned_table(
+        orders.select("o_orderkey", "o_totalprice", "state", "kind"), name, ["state", "kind"]
+    )
+    rows = spark.table(name).groupBy("state", "kind").agg(F.count(F.lit(1)).alias("n"))
+    values = catalog.partition_values(spark, name)
+    counted = catalog.partition_rows(spark, name, rows)
+    return values.join(counted, "partition_spec").select("state", "kind", "n")
+
+
+@query("partitions_pruned_by_subquery")
+def partitions_pruned_by_subquery(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of the partitions that a subquery names; the other folders are not read."""
+    database = new_database(spark, "pruned")
+    orders = table(spark, folder, "orders")
+    catalog.create_partitioned_table(
+        orders.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"),
+        f"`{database}`.orders",
+        ["o_orderstatus", "o_orderpriority"],
+    )
+    urgent = orders.where("o_orderpriority LIKE '1%'").groupBy("o_orderpriority").count()
+    catalog.register_view(urgent, "tableloom_urgent")
+    return spark.sql(
+        f"""
+        SELECT o_orderkey, o_orderstatus, o_orderpriority FROM `{database}`.orders
+        WHERE o_orderstatus = 'O'
+          AND o_orderpriority IN (SELECT o_orderpriority FROM tableloom_urgent WHERE count > 0)
+        """
+    )
+
+
+@query("bucketed_in_filter")
+def bucketed_in_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders of one region's customers, from a table in buckets by customer."""
+    name = f"`{new_database(spark, 'bucketed')}`.orders"
+    catalog.create_bucketed_table(
+        table(spark, folder, "orders"), name, 8, ["o_custkey"], sort=["o_custkey"]
+    )
+    customers = _customers_of_region(spark, folder).select("c_custkey")
+    return where_in(spark.table(name), "o_custkey", customers, unique=True)
+
+
+@query("bucket_details")
+def bucket_details(spark: SparkSession, folder: str) -> DataFrame:
+    """How a bucketed table is stored, with its rows and the files they lie in."""
+    name = f"`{new_database(spark, 'buckets')}`.lines"
+    catalog.create_bucketed_table(
+        table(spark, folder, "lineitem"), name, 4, ["l_orderkey", "l_linenumber"], sort=["l_orderkey"]
+    )
+    files = spark.table(name).groupBy(F.input_file_name().alias("file")).count()
+    return catalog.storage_details(spark, name).select(
+        "provider",
+        "kind",
+        "buckets",
+        F.array_join("bucket_columns", ",").alias("bucket_columns"),
+        F.array_join("sort_columns", ",").alias("sort_columns"),
+        files.agg(F.sum("count")).scalar().alias("n"),
+        files.agg(F.count(F.lit(1))).scalar().alias("files"),
+    )
+
+
+@query("metastore_sql")
+def metastore_sql(spark: SparkSession, folder: str) -> DataFrame:
+    """The columns of a table, found by nested subqueries over the metastore's relations."""
+    database = new_database(spark, "meta")
+    for name in ("orders", "customer"):
+        catalog.create_file_table(
+            spark, f"`{database}`.{name}", "parquet", table_path(folder, name)
+        )
+    catalog.create_bucketed_table(
+        table(spark, folder, "orders"), f"`{database}`.dealt", 4, ["o_custkey", "o_orderkey"]
+    )
+    catalog.register_metastore(spark, database, "tableloom_")
+    names = spark.table(f"`{database}`.orders").columns
+    present = spark.table(f"`{database}`.orders").agg(*(F.count(c).alias(c) for c in names))
+    catalog.register_view(present.unpivot([], names, "column_name", "n"), "tableloom_present")
+    return spark.sql(
+        f"""
+        SELECT c.integer_idx, c.column_name, c.type_name, p.n, coalesce(b.integer_idx, -1) AS bucket_idx
+        FROM (
+            SELECT * FROM tableloom_COLUMNS_V2 WHERE cd_id = (
+                SELECT cd_id FROM tableloom_SDS WHERE sd_id = (
+                    SELECT sd_id FROM tableloom_TBLS WHERE tbl_name = 'orders' AND db_id IN (
+                        SELECT db_id FROM tableloom_DBS WHERE name = '{database}')))
+        ) c
+        JOIN tableloom_present p ON p.column_name = c.column_name
+        LEFT JOIN (
+            SELECT * FROM tableloom_BUCKETING_COLS WHERE sd_id IN (
+                SELECT sd_id FROM tableloom_TBLS WHERE tbl_name = 'dealt')
+        ) b ON b.bucket_col_name = c.column_name
+        """
+    )

@@ -35,13 +35,13 @@ def write_csv(
         df = df.repartition(num_files)
     settings = {**(CSV_LOSSLESS if lossless else {}), **options}
     if lossless:
-        df = _without_null_mark(df, settings["nullValue"])
+        df = without_null_mark(df, settings["nullValue"])
     if max_records_per_file is not None:
         settings["maxRecordsPerFile"] = str(max_records_per_file)
     df.write.options(**settings).mode(mode).csv(path, header=header)
 
 
-def _without_null_mark(df: DataFrame, mark: str) -> DataFrame:
+def without_null_mark(df: DataFrame, mark: str) -> DataFrame:
     """``df``, failing on a text that equals the mark for NULL."""
     message = F.lit("a value equals the mark for NULL of lossless CSV")
     return df.select(
