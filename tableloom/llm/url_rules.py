@@ -20,7 +20,7 @@ from tableloom.llm.common import written
 
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLOCK = "verdict=block"
-LEAST_TOKENS, MOST_TOKENS = 2, 3  # of a mined rule: a combination, and one still readable
+LEAST_TOKENS = 2  # of a mined rule: a combination
 
 Rule = tuple[str, str, str]  # verdict, host, path
 
@@ -68,7 +68,7 @@ def tokens(host_col: str, path_col: str) -> Column:
 def mine(labelled: DataFrame, *, least_support: float, least_confidence: float) -> DataFrame:
     """(items, support, confidence) of block rules from (tokens, verdict).
 
-    Sets of ``LEAST_TOKENS`` to ``MOST_TOKENS`` tokens. A rule whose part is a rule of at least its
+    Sets of ``LEAST_TOKENS`` tokens or more. A rule whose part is a rule of at least its
     confidence adds nothing and is dropped. There are at most as many frequent tokens as a
     URL's tokens over ``least_support``, which bounds the rules whatever the table's size.
     """
@@ -82,7 +82,7 @@ def mine(labelled: DataFrame, *, least_support: float, least_confidence: float)
     ).fit(baskets)
     found = (
         model.associationRules.where(F.array_contains("consequent", F.lit(BLOCK)))
-        .where(F.size("antecedent").between(LEAST_TOKENS, MOST_TOKENS))
+        .where(F.size("antecedent") >= LEAST_TOKENS)
         .select(F.array_sort("antecedent").alias("items"), "support", "confidence")
     )
     found = written(found, "mined-rules")
@@ -160,11 +160,10 @@ def judge(
     hits = matches(open_urls, mined)
     blocked = hits.groupBy("tokens").agg(F.min("rule").alias("mined"))
     blocked = written(blocked, "blocked")
-    kept_open = F.when(F.col("given").isNull(), F.col("tokens"))
-    judged = split.withColumn("open", kept_open).join(
-        blocked.withColumnRenamed("tokens", "open"), "open", "left"
-    )
-    return judged.select(
+    # Only what no listed rule decides is joined; the rest has no key that could pile up.
+    undecided = split.where(F.col("given").isNull()).join(blocked, "tokens", "left")
+    decided = split.where(F.col("given").isNotNull()).withColumn("mined", F.lit(None).cast("string"))
+    return undecided.unionByName(decided).select(
         "id",
         "host",
         "path",
