@@ -204,7 +204,7 @@ def test_url_query_equals_brute_force(spark, tables):
     from itertools import combinations
 
     for items, block in baskets:
-        for size in (2, 3):
+        for size in range(2, len(items) + 1):
             for part in combinations(sorted(items), size):
                 counts[part] += 1
                 blocks[part] += block
@@ -232,6 +232,15 @@ def test_urls_of_all_kinds(spark):
     assert url_rules.judge(empty, queries.URL_RULES).collect() == []
 
 
+def test_repeated_urls_and_clashing_names(spark):
+    urls = ["http://net/es/a", "http://x.org/p/q", "http://x.org/p/q", None, None] * 3
+    pages = spark.createDataFrame([(i % 5, u, "h", "p", "t") for i, u in enumerate(urls)],
+                                  "page_id long, url string, host string, tokens string, mined string")
+    rows = [tuple(r) for r in url_rules.judge(pages, queries.URL_RULES).collect()]
+    assert len(rows) == 15 and len(set(rows)) == 5
+    assert all(rows.count(r) == 3 for r in rows)
+
+
 def test_url_plan_has_no_python(spark, tables):
     plan = queries.op6_url_rules(spark, tables)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -272,8 +281,8 @@ def test_next_words_sum_to_one(spark, documents):
         texts.append(" ".join(text))
     docs = documents(list(enumerate(texts)))
     blocks = suffix_tree.tokenised(docs, "doc_id", "text", 10)
-    totals = suffix_tree.word_totals(blocks)
-    tree = suffix_tree.grow(blocks, totals, depth=2, least_context=0.001, least_next=0.01, divergence=0.01)
+    words = suffix_tree.corpus_words(blocks)
+    tree = suffix_tree.grow(blocks, words, depth=2, least_context=0.001, least_next=0.01, divergence=0.01)
     assert len(tree.entries) and (tree.state > 0).any()
     symbols = np.array([*tree.symbols.values(), -1])
     base = tree.root_log(np.array([*tree.counts[symbols[:-1]], 0]))
