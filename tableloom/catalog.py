@@ -285,9 +285,9 @@ def create_text_table(
     With ``location`` it is external, over files already there, which dropping the
     table leaves alone; without, it is managed. ``CHAR(n)`` columns read padded with blanks to n
     characters and cut to n: an external table with such columns is a view of that name over a table
-    ``<name>__text``, which has the values as they are in the files; ``drop_table`` drops both. A managed table
-    keeps every value unless ``options`` say otherwise: outer blanks, ``''`` beside NULL, and
-    line breaks.
+    ``<name>__text``, which has the values as they are in the files; ``drop_table`` drops both.
+    A managed table keeps every value unless ``options`` say otherwise: outer blanks, ``''``
+    beside NULL, and line breaks.
     """
     if options is None:
         options = text_table_options()
