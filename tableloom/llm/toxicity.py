@@ -1,11 +1,13 @@
 """Toxicity by weak supervision.
 
-Voters are written, not labelled by hand: lexicon voters look for words, pattern voters
-for word beginnings and for ways of writing. The words and beginnings are found in a
-bounded sample of labelled rows and dealt out to many voters. A generative model of the
-votes, fitted by expectation maximisation, estimates each voter's rates for either
-class; voters that err together, which the model sees as correlation within a class, are
-counted less. Its posterior labels train a linear classifier, which scores every text.
+Lexicon voters look for words, pattern voters for word beginnings and for ways of writing.
+Their words and beginnings are those that mark toxic rows in a bounded sample of labelled
+ones; each belongs to one voter. All documents are voted on, and equal votes counted. A
+generative model of these counts, fitted by expectation maximisation without any label,
+estimates each voter's rates for either class; voters that err together, which the model
+sees as correlation within a class, are counted less. Labels only tell which of its two
+classes is the toxic one, if any is. Its posterior labels train a linear classifier, which scores
+every text.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,9 @@ ROWS_PER_CLASS = 4000  # labelled rows that the model is fitted on, of each clas
 STEMS = (5, 6, 7)  # letters of a word beginning
 DENSE = 250
 LEXICON = 512  # most terms that are dealt out to voters
-VOTERS = 32
+VOTERS = 8  # of words, and as many of beginnings; 2 ** (2 * VOTERS + 2) votes at most differ
+CLEAR = 2.5  # least log odds of a voter's terms, less their standard error
+LEAN = 8  # a text with two voters and over one in LEAN of them starts as toxic
 LEAST_TEXTS = 3  # texts of the class in which a term of a voter occurs
 
 _EDGES = b".,;:!?()[]{}\"'*#$%&|<>"
@@ -63,48 +67,71 @@ def terms(text: str | None) -> tuple[set[str], list[float]]:
 
 @dataclass(frozen=True)
 class Model:
-    """Scores a text by the terms in it."""
+    """Scores a text by the terms in it; ``words`` and their numbers are those of ``weights``."""
 
-    weights: dict[str, float]
-    groups: list[frozenset[str]]
-    voter_weights: list[float]
+    words: dict[str, int]
+    weights: np.ndarray
+    groups: list[list[int]]
+    voter_weights: np.ndarray
     bias: float
     shout: float  # share of capitals, and of !, from which that voter votes
 
-    def score(self, text: str | None) -> float:
+    def read(self, text: str | None) -> tuple[list[int], int]:
+        """The numbers of the known terms of a text, and the voters' votes as bits."""
         found, ways = terms(text)
-        known = [t for t in found if t in self.weights]
-        total = self.bias + sum(sorted(self.weights[t] for t in known))
-        present = set(known)
-        votes = [not present.isdisjoint(group) for group in self.groups]
+        places = sorted(self.words[t] for t in found if t in self.words)
+        has = set(places)
+        votes = [not has.isdisjoint(group) for group in self.groups]
         votes += [way > self.shout for way in ways]
-        total += sum(w for w, vote in zip(self.voter_weights, votes) if vote)
+        return places, sum(1 << j for j, vote in enumerate(votes) if vote)
+
+    def weigh(self, places: list[int], votes: int) -> float:
+        total = self.bias + float(self.weights[places].sum()) if len(places) else self.bias
+        total += sum(float(w) for j, w in enumerate(self.voter_weights) if votes >> j & 1)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
 
+    def score(self, text: str | None) -> float:
+        return self.weigh(*self.read(text))
+
+
+def deal(words: list[str]) -> list[list[int]]:
+    """Which numbers of ``words``, the clearest first, each voter looks for: words, then beginnings."""
+    starts = tuple(f"{n}~" for n in STEMS)
+    kinds = ([], [])
+    for i, word in enumerate(words):
+        kinds[word.startswith(starts)].append(i)
+    return [kind[j::VOTERS] for kind in kinds for j in range(min(VOTERS, len(kind)))]
+
+
+def bits(patterns: np.ndarray, voters: int) -> np.ndarray:
+    """A row per pattern and a column per voter, 1 where it votes."""
+    return (patterns[:, None] >> np.arange(voters) & 1).astype(float)
+
 
 def label_model(
-    votes: np.ndarray, toxic: np.ndarray, rounds: int = 50, anchor: float = 3.0
+    votes: np.ndarray, times: np.ndarray, rounds: int = 100
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior, rates, trust) of a generative model of binary votes.
 
-    ``votes`` has a row per text and a column per voter; ``toxic`` is the row's own label,
-    one more voice whose log odds ``anchor`` are given, so that the classes stay those of
-    the labels and do not become, say, languages.
+    ``votes`` has a row per different set of votes and a column per voter; ``times`` is how
+    many texts have them. Texts that two voters and more than one in ``LEAN``
+    of them vote for start as likely of class 1.
     ``rates[c, j]`` is how often voter j votes in class c. ``trust`` is 1 for a voter that
     errs alone and less the more its votes go with others' within the classes: each pair's
     correlation, beyond what chance gives, is taken from both.
     """
-    said = np.where(toxic, anchor, -anchor)
-    posterior = 1 / (1 + np.exp(-said))
-    trust = np.ones(votes.shape[1])
-    rates = np.full((2, votes.shape[1]), 0.5)
-    chance = 3 / math.sqrt(max(1, len(votes)))
+    voters = votes.shape[1]
+    start = 4 * (votes.sum(axis=1) - max(1.5, voters / LEAN))
+    posterior = 1 / (1 + np.exp(-np.clip(start, -30, 30)))
+    trust = np.ones(voters)
+    rates = np.full((2, voters), 0.5)
+    chance = 3 / math.sqrt(max(1, times.sum()))
     for _ in range(rounds):
-        share = np.stack([1 - posterior, posterior])
+        share = np.stack([1 - posterior, posterior]) * times
         size = share.sum(axis=1, keepdims=True)
         rates = (share @ votes + 0.5) / (size + 1)
         balance = (size[:, 0] + 1) / (size.sum() + 2)
-        within = np.zeros((votes.shape[1],) * 2)
+        within = np.zeros((voters, voters))
         for c in range(2):
             centred = votes - rates[c]
             spread = np.sqrt(rates[c] * (1 - rates[c]))
@@ -112,9 +139,9 @@ def label_model(
             within = np.maximum(within, joint / np.outer(spread, spread))
         np.fill_diagonal(within, 0)
         trust = 1 / (1 + np.maximum(0, within - chance).sum(axis=1))
-        odds = said + np.log(balance[1] / balance[0])
-        odds += votes @ (trust * np.log(rates[1] / rates[0]))
-        odds += (1 - votes) @ (trust * np.log((1 - rates[1]) / (1 - rates[0])))
+        odds = np.log(balance[1] / balance[0])
+        odds = odds + votes @ (trust * np.log(rates[1] / rates[0]))
+        odds = odds + (1 - votes) @ (trust * np.log((1 - rates[1]) / (1 - rates[0])))
         after = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         moved = np.abs(after - posterior).max(initial=0)
         posterior = after
@@ -146,8 +173,8 @@ def linear(
 def lexicon(found: DataFrame, yes: int, no: int, most: int = LEXICON) -> list[str]:
     """Terms that mark the toxic ones of ``found`` (text, label), the clearest first.
 
-    Measured by the smoothed log odds over its standard error; terms of fewer than
-    ``LEAST_TEXTS`` toxic texts, or below three standard errors, are no voters' words.
+    Measured by the smoothed log odds less their standard error; terms of fewer than
+    ``LEAST_TEXTS`` toxic texts, or below ``CLEAR``, are no voters' words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,73 +197,74 @@ def lexicon(found: DataFrame, yes: int, no: int, most: int = LEXICON) -> list[st
         .groupBy("term")
         .agg(F.sum("label").alias("hits"), F.sum(1 - F.col("label")).alias("misses"))
         .where(F.col("hits") >= LEAST_TEXTS)
-        .select("term", F.round(odds / F.sqrt(1 / a + 1 / b), 9).alias("clear"))
-        .where("clear >= 3")
+        .select("term", F.round(odds - F.sqrt(1 / a + 1 / b), 9).alias("clear"))
+        .where(F.col("clear") >= CLEAR)
         .orderBy(F.desc("clear"), "term")
         .limit(most)
     )
     return [r["term"] for r in ranked.collect()]
 
 
-def read_votes(found: DataFrame, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(terms, ways, toxic) of ``found``: which of ``words`` each text has, how it is written."""
-    at = {t: i for i, t in enumerate(words)}
+def unweighted(words: list[str], shout: float = 0.5) -> Model:
+    """The voters of ``words`` before anything is known about them."""
+    groups = deal(words)
+    at = {word: i for i, word in enumerate(words)}
+    return Model(at, np.zeros(len(words)), groups, np.zeros(len(groups) + 2), 0.0, shout)
+
+
+def read_texts(found: DataFrame, model: Model, keep: str) -> DataFrame:
+    """(``keep``, places, votes) of each row of ``found``, as ``Model.read`` gives them."""
+    sent = found.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, measured = [], []
-            for text in batch.column(0):  # one text's terms at a time are held
-                has, ways = terms(text.as_py())
-                places.append(sorted(at[t] for t in has if t in at))
-                measured.append(ways)
+            # One text's terms at a time are held.
+            rows = [sent.value.read(text.as_py()) for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(places, pa.list_(pa.int32())),
-                    pa.array(measured, pa.list_(pa.float64())),
                     batch.column(1),
+                    pa.array([places for places, _ in rows], pa.list_(pa.int32())),
+                    pa.array([votes for _, votes in rows], pa.int64()),
                 ],
-                names=["places", "ways", "label"],
+                names=[keep, "places", "votes"],
             )
 
-    rows = (
-        found.select("text", F.col("label").cast("int").alias("label"))
-        .mapInArrow(run, "places array<int>, ways array<double>, label int")
-        .orderBy("places", "ways", "label")  # the same order, and so the same sums, each time
-        .toPandas()
+    return found.select("text", F.col(keep).cast("long").alias(keep)).mapInArrow(
+        run, f"{keep} long, places array<int>, votes long"
     )
-    inputs = np.zeros((len(rows), len(words)))
-    for i, places in enumerate(rows["places"]):
-        inputs[i, places] = 1
-    ways = np.array(rows["ways"].tolist(), float).reshape(len(rows), 2)
-    return inputs, ways, (rows["label"] == 1).to_numpy(bool)
-
-
-def train(
-    words: list[str],
-    inputs: np.ndarray,
-    ways: np.ndarray,
-    toxic: np.ndarray,
-    share: float,
-    shout: float = 0.5,
-) -> Model:
-    """A model from labelled texts; ``share`` is how common toxic ones are among all labels."""
+
+
+def train(sampled: pd.DataFrame, counted: pd.DataFrame, model: Model, share: float) -> Model:
+    """``model`` with weights.
+
+    ``counted`` (votes, n) are the votes of all documents; ``sampled`` (label, places, votes)
+    are labelled rows, ``share`` is how common toxic ones are among all labels. The
+    classifier learns the posteriors of the sampled rows, not their labels. Without a clear
+    term, or if the classes found are not those of the labels, all texts score ``share``.
+    """
+    toxic = (sampled["label"] == 1).to_numpy(bool)
     if toxic.all() or not toxic.any():
-        return Model({}, [], [], 6.0 if len(toxic) and toxic.all() else -6.0, shout)
-    lists = [list(range(i, len(words), VOTERS)) for i in range(min(VOTERS, len(words)))]
-    votes = np.hstack(
-        [*(inputs[:, part].any(axis=1)[:, None] for part in lists), ways > shout]
-    ).astype(float)
-    posterior, _, _ = label_model(votes, toxic)
-    weights, bias = linear(np.hstack([inputs, votes]), posterior)
+        bias = 6.0 if len(toxic) and toxic.all() else -6.0
+        return replace(model, bias=bias)
+    usual = replace(model, bias=math.log(share / (1 - share)))
+    if not model.words:
+        return usual
+    voters = len(model.voter_weights)
+    patterns = counted["votes"].to_numpy(np.int64)
+    posterior, _, _ = label_model(bits(patterns, voters), counted["n"].to_numpy(float))
+    # Labelled rows are documents, so their votes are among those counted.
+    soft = posterior[np.searchsorted(patterns, sampled["votes"].to_numpy(np.int64))]
+    if soft[toxic].mean() <= soft[~toxic].mean():
+        return usual  # the votes tell other classes apart
+    inputs = np.zeros((len(sampled), len(model.words)))
+    for i, places in enumerate(sampled["places"]):
+        inputs[i, places] = 1
+    votes = bits(sampled["votes"].to_numpy(np.int64), voters)
+    weights, bias = linear(np.hstack([inputs, votes]), soft)
     # The sample may hold more of one class than the labels do.
-    shift = math.log(share / (1 - share)) - math.log(toxic.mean() / (1 - toxic.mean()))
-    return Model(
-        dict(zip(words, weights[: len(words)].tolist())),
-        [frozenset(words[i] for i in part) for part in lists],
-        weights[len(words) :].tolist(),
-        bias + shift,
-        shout,
-    )
+    bias += math.log(share / (1 - share)) - math.log(toxic.mean() / (1 - toxic.mean()))
+    own = len(model.words)
+    return replace(model, weights=weights[:own], voter_weights=weights[own:], bias=bias)
 
 
 def sample(
@@ -285,8 +313,13 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     rows_per_class: int = ROWS_PER_CLASS,
-) -> Model:
-    """A model learned from at most ``rows_per_class`` labelled rows of each class."""
+) -> tuple[Model, DataFrame]:
+    """A model, and (id, places, votes) of each row of ``docs`` as it reads them.
+
+    Terms and classifier come from at most ``rows_per_class`` labelled rows of each class,
+    the label model from the votes of all documents. The driver gets the sample and the
+    counts of different votes, of which there are at most 2 to the number of voters.
+    """
     found, share = sample(
         docs,
         labels,
@@ -296,8 +329,13 @@ def fit(
         rows_per_class=rows_per_class,
     )
     size = found.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
-    words = lexicon(found, size[1], size[0] - size[1])
-    return train(words, *read_votes(found, words), share)
+    model = unweighted(lexicon(found, size[1], size[0] - size[1]))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    read = written(read_texts(texts, model, "id"), "votes")
+    counted = read.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes")
+    # The same order, and so the same sums, each time.
+    sampled = read_texts(found, model, "label").orderBy("places", "votes", "label")
+    return train(sampled.toPandas(), counted.toPandas(), model, share), read
 
 
 def score(model: Model, text: Column) -> Column:
@@ -327,7 +365,7 @@ def score_texts(
     scores are near 0 (or near 1 if all are toxic). Repeated rows score alike; an empty
     table gives an empty one. A term counts once however long the text is.
     """
-    model = fit(
+    model, read = fit(
         docs,
         labels,
         id_col=id_col,
@@ -335,9 +373,12 @@ def score_texts(
         label_col=label_col,
         rows_per_class=rows_per_class,
     )
-    return docs.select(
-        F.col(id_col).cast("long").alias("id"), score(model, F.col(text_col)).alias("score")
-    )
+
+    @F.pandas_udf("double")
+    def weighed(places: pd.Series, votes: pd.Series) -> pd.Series:
+        return pd.Series([model.weigh(p, v) for p, v in zip(places, votes.tolist())], dtype=float)
+
+    return read.select("id", weighed("places", "votes").alias("score"))
 
 
 def without_toxic(
@@ -347,5 +388,5 @@ def without_toxic(
 
     ``names`` are the other parameters of ``fit``.
     """
-    model = fit(docs, labels, text_col=text_col, **names)
+    model, _ = fit(docs, labels, text_col=text_col, **names)
     return docs.where(score(model, F.col(text_col)) < reject)

@@ -128,17 +128,91 @@ def test_toxic_rows_go_and_columns_stay(documents, label_table):
     assert left.where("doc_id IS NULL OR doc_id = 99").count() == 2
 
 
-def test_label_model_learns_rates_and_distrusts_echoes():
+def test_label_model_learns_rates_and_distrusts_echoes_without_labels():
     rng = np.random.default_rng(5)
-    truth = rng.random(4000) < 0.4
-    alone = [np.where(truth, rng.random(4000) < 0.7, rng.random(4000) < 0.1) for _ in range(3)]
-    echo = alone[0].copy()
-    votes = np.stack([*alone, echo], axis=1).astype(float)
-    noisy = np.where(rng.random(4000) < 0.1, ~truth, truth)
-    posterior, rates, trust = toxicity.label_model(votes, noisy)
-    assert np.abs(rates[1, :3] - 0.7).max() < 0.08 and np.abs(rates[0, :3] - 0.1).max() < 0.05
-    assert trust[0] < 0.7 and trust[3] < 0.7 and trust[1] > 0.8
-    assert ((posterior > 0.5) == truth).mean() > 0.9
+    truth = rng.random(40000) < 0.1
+    alone = [np.where(truth, rng.random(40000) < 0.6, rng.random(40000) < 0.03) for _ in range(7)]
+    echo = np.where(rng.random(40000) < 0.95, alone[0], alone[1])
+    votes = np.stack([*alone, echo], axis=1)
+    patterns = (votes << np.arange(8)).sum(axis=1)
+    found, times = np.unique(patterns, return_counts=True)
+    posterior, rates, trust = toxicity.label_model(toxicity.bits(found, 8), times.astype(float))
+    assert np.abs(rates[1, :7] - 0.6).max() < 0.08 and np.abs(rates[0, :7] - 0.03).max() < 0.02
+    assert trust[0] < 0.7 and trust[7] < 0.7 and trust[2:7].min() > 0.8
+    likely = posterior[np.searchsorted(found, patterns)]
+    assert ((likely > 0.5) == truth).mean() > 0.97
+
+
+def plain_posterior(votes):
+    """Expectation maximisation with a row per text, in loops over voters."""
+    m = votes.shape[1]
+    p = 1 / (1 + np.exp(-4 * (votes.sum(axis=1) - max(1.5, m / toxicity.LEAN))))
+    for _ in range(100):
+        rates, corr = [], np.zeros((m, m))
+        for share in (1 - p, p):
+            r = [(share @ votes[:, j] + 0.5) / (share.sum() + 1) for j in range(m)]
+            for j in range(m):
+                for k in range(m):
+                    if j != k:
+                        both = (share * (votes[:, j] - r[j]) * (votes[:, k] - r[k])).sum()
+                        spread = (r[j] * (1 - r[j]) * r[k] * (1 - r[k])) ** 0.5
+                        corr[j, k] = max(corr[j, k], both / max(1.0, share.sum()) / spread)
+            rates.append(r)
+        odds = np.full(len(p), np.log((p.sum() + 1) / ((1 - p).sum() + 1)))
+        for j in range(m):
+            trust = 1 / (1 + sum(max(0.0, corr[j, k] - 3 / len(p) ** 0.5) for k in range(m) if k != j))
+            no, yes = rates[0][j], rates[1][j]
+            odds += trust * np.where(votes[:, j], np.log(yes / no), np.log((1 - yes) / (1 - no)))
+        after = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        moved, p = np.abs(after - p).max(), after
+        if moved < 1e-6:
+            break
+    return p
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    tables = LARGER
+    labels = {i: r["toxic"] for i, r in labels_of(spark, tables).items() if r["toxic"] is not None}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    known = [i for i in texts if i in labels and not held(i, 5)]
+    yes = sum(labels[i] for i in known)
+    hits = collections.Counter(t for i in known for t in toxicity.terms(texts[i])[0] if labels[i])
+    misses = collections.Counter(t for i in known for t in toxicity.terms(texts[i])[0] if not labels[i])
+    ranked = []
+    for term, n in hits.items():
+        a, b = n + 0.5, misses[term] + 0.5
+        odds = math.log(a / (yes + 1 - a)) - math.log(b / (len(known) - yes + 1 - b))
+        low = round(odds - (1 / a + 1 / b) ** 0.5, 9)
+        if n >= toxicity.LEAST_TEXTS and low >= toxicity.CLEAR:
+            ranked.append((-low, term))
+    words = [t for _, t in sorted(ranked)[: toxicity.LEXICON]]
+    assert words
+    starts = [t for t in words if t[:2] in ("5~", "6~", "7~")]
+    lists = []
+    for kind in ([t for t in words if t not in starts], starts):
+        lists += [set(kind[j :: toxicity.VOTERS]) for j in range(toxicity.VOTERS) if kind[j:]]
+    seen, votes = {}, {}
+    for i, text in texts.items():
+        has, ways = toxicity.terms(text)
+        seen[i] = [float(t in has) for t in words]
+        votes[i] = [float(bool(has & part)) for part in lists] + [float(w > 0.5) for w in ways]
+    soft = dict(zip(votes, plain_posterior(np.array(list(votes.values())))))
+    weights, bias = toxicity.linear(
+        np.array([seen[i] + votes[i] for i in known]), np.array([soft[i] for i in known])
+    )
+    rows = queries.op5_toxicity(spark, tables).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        total = bias + np.dot(weights, seen[r["doc_id"]] + votes[r["doc_id"]])
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-np.clip(total, -30, 30))), abs=1e-6)
+
+
+def test_hidden_labels_change_no_posterior(documents, label_table):
+    texts = [f"plain words number {i} stand here" + (" dreadful slur" if i % 3 == 0 else "") for i in range(300)]
+    docs = documents(list(enumerate(texts)))
+    few = [(i, 1, int(i % 3 == 0)) for i in range(60)]
+    rows = toxicity.score_texts(docs, label_table(few)).collect()
+    assert all((r["score"] >= 0.5) == (r["id"] % 3 == 0) for r in rows)
 
 
 @pytest.mark.parametrize("module", [toxicity, quality_neighbours])
