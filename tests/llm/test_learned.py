@@ -343,32 +343,90 @@ def test_scores_of_the_suffix_tree(spark, tables):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_next_words_sum_to_one(spark, documents):
+class PlainTree:
+    """The suffix tree by dictionaries of words."""
+
+    def __init__(self, texts, depth, least_context, least_next, divergence):
+        self.depth, self.kept = depth, {}
+        seqs = collections.Counter(
+            tuple(t[i : i + n]) for t in texts for n in range(1, depth + 2) for i in range(len(t) - n + 1)
+        )
+        self.words = {s[0]: n for s, n in seqs.items() if len(s) == 1}
+        self.size = sum(self.words.values())
+        after = collections.defaultdict(dict)
+        for seq, n in seqs.items():
+            if len(seq) > 1 and n >= least_next and seqs[seq[:-1]] >= least_context:
+                after[seq[:-1]][seq[-1]] = n
+        for context in sorted(after, key=len):
+            own = {w: (n - 0.5) / seqs[context] for w, n in after[context].items()}
+            usual = {w: self.chance(context[1:], w) for w in own}
+            rest, usual_rest = 1 - sum(own.values()), 1 - sum(usual.values())
+            if min(rest, usual_rest) <= 1e-9:
+                continue
+            told = sum(p * math.log(p / usual[w]) for w, p in own.items())
+            if told + rest * math.log(rest / usual_rest) >= divergence:
+                self.kept[context] = own, rest / usual_rest
+
+    def chance(self, context, word):
+        if not context:
+            return (self.words.get(word, 0) + 0.1) / (self.size + 0.1 * (len(self.words) + 1))
+        if context not in self.kept:
+            return self.chance(context[1:], word)
+        own, factor = self.kept[context]
+        return own[word] if word in own else factor * self.chance(context[1:], word)
+
+    def score(self, text):
+        places = range(len(text))
+        return sum(math.log10(self.chance(tuple(text[max(0, i - self.depth) : i]), text[i])) for i in places)
+
+
+def chain_texts(count):
     rng = np.random.default_rng(7)
     words = ["a", "b", "c", "d", "e"]
     texts = []
-    for _ in range(300):
+    for n in range(count):
         text = ["a"]
         while len(text) < 30:
             last = words.index(text[-1])
-            text.append(words[(last + 1) % 5] if rng.random() < 0.8 else words[rng.integers(5)])
-        texts.append(" ".join(text))
+            twice = len(text) > 1 and text[-2] == "b"
+            text.append(words[(last + 1 + twice) % 5] if rng.random() < 0.8 else words[rng.integers(5)])
+        texts.append(" ".join([*text, f"rare{n % 40}", "Seldom", "é"]))
+    return texts
+
+
+def test_suffix_tree_equals_plain_version(documents):
+    texts = chain_texts(300)
     docs = documents(list(enumerate(texts)))
-    blocks = suffix_tree.tokenised(docs, "doc_id", "text", 10)
-    words = suffix_tree.corpus_words(blocks)
-    tree = suffix_tree.grow(blocks, words, depth=2, least_context=0.001, least_next=0.01, divergence=0.01)
-    assert len(tree.entries) and (tree.state > 0).any()
-    symbols = np.array([*tree.symbols.values(), -1])
-    base = tree.root_log(np.array([*tree.counts[symbols[:-1]], 0]))
-    for context in [(), (0,), (1,), (2, 3)]:
-        total = 0.0
-        for symbol, log in zip(symbols, base):
-            row = np.array([*context, symbol])
-            logs = tree.score(row, np.arange(len(row)), np.full(len(row), log), 2)
-            total += 10 ** logs[-1]
+    tokens = {i: [*t.encode().lower().decode().split(), ""] for i, t in enumerate(texts)}
+    bounds = {"depth": 3, "least_context": 20, "least_next": 5, "divergence": 0.01}
+    plain = PlainTree([t for i, t in tokens.items() if not held(i, 10)], **bounds)
+    assert {len(c) for c in plain.kept} == {1, 2, 3}
+    for context in [(), ("a",), ("b", "c"), ("a", "b", "d"), ("seldom",), ("unheard",)]:
+        total = sum(plain.chance(context, w) for w in [*plain.words, "unheard"])
         assert total == pytest.approx(1, abs=1e-6)
-    scored = suffix_tree.score_texts(docs, least_context=0.001).collect()
-    assert sum(r["score"] for r in scored) > 0.75 * sum(r["base_score"] for r in scored)
+    for row in suffix_tree.score_texts(docs, **bounds).collect():
+        assert row["score"] == pytest.approx(plain.score(tokens[row["id"]]), rel=1e-9)
+        assert row["score"] > 1.5 * row["base_score"]
+
+
+def test_suffix_tree_is_the_same_with_a_full_filter(documents, monkeypatch):
+    docs = documents(list(enumerate(chain_texts(100))))
+    one = suffix_tree.score_texts(docs, least_context=20, least_next=5).orderBy("id").collect()
+    monkeypatch.setattr(suffix_tree, "MOST_BITS", 64)
+    two = suffix_tree.score_texts(docs, least_context=20, least_next=5).orderBy("id").collect()
+    assert [r["score"] for r in one] == pytest.approx([r["score"] for r in two], rel=1e-9)
+
+
+def test_suffix_tree_grows_with_the_corpus(documents):
+    sizes = []
+    for count in (60, 120, 240):
+        blocks = suffix_tree.tokenised(documents(list(enumerate(chain_texts(count)))), "doc_id", "text", 10)
+        words = suffix_tree.corpus_words(blocks)
+        tree, _, _ = suffix_tree.grow(
+            blocks, words, depth=3, least_context=20, least_next=5, divergence=0.01
+        )
+        sizes.append(tree.count())
+    assert sizes[0] < sizes[1] < sizes[2]
 
 
 def test_blocks_do_not_change_scores(spark, tables, monkeypatch):
