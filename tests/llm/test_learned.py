@@ -409,10 +409,13 @@ def test_suffix_tree_equals_plain_version(documents):
         assert row["score"] > 1.5 * row["base_score"]
 
 
-def test_suffix_tree_is_the_same_with_a_full_filter(documents, monkeypatch):
+@pytest.mark.parametrize("bits", [1 << 27, 64])
+def test_suffix_tree_may_be_too_large_to_be_sent(documents, monkeypatch, bits):
     docs = documents(list(enumerate(chain_texts(100))))
     one = suffix_tree.score_texts(docs, least_context=20, least_next=5).orderBy("id").collect()
-    monkeypatch.setattr(suffix_tree, "MOST_BITS", 64)
+    monkeypatch.setattr(suffix_tree, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(suffix_tree, "MOST_BITS", bits)
+    monkeypatch.setattr(suffix_tree, "BLOCK_TOKENS", 500)
     two = suffix_tree.score_texts(docs, least_context=20, least_next=5).orderBy("id").collect()
     assert [r["score"] for r in one] == pytest.approx([r["score"] for r in two], rel=1e-9)
 
