@@ -36,6 +36,7 @@ BLOCK_CHARS = 1 << 22  # of item text sent out at once
 MOST_WALKS = 16  # an item that needs more takes shorter walks; if none will do, it is searched exactly
 HARDEST, COPIES = 6, 40  # items of like length, and copies of each, that recall is measured on
 FILTER_SHARE = 16  # bits of a filter per hash in it
+HEAD = 8  # bytes of a window that are compared to find those that begin alike; one number
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,30 +65,42 @@ class Walk:
 
     @classmethod
     def draw(cls, rng: np.random.Generator, steps: int) -> Walk:
-        moves = rng.integers(0, 2, (steps, 256)).astype(np.int32)
+        moves = rng.integers(0, 2, (steps, 256)).astype(np.int64)
         return cls(moves, np.sort(rng.permutation(steps)[: min(SAMPLES, steps)]))
 
     def hashes(
-        self, octets: np.ndarray, starts: np.ndarray, filters: list[np.ndarray] | None = None
+        self,
+        octets: np.ndarray,
+        starts: np.ndarray,
+        filters: list[np.ndarray] | None = None,
+        heads: tuple[np.ndarray, np.ndarray] | None = None,
     ) -> tuple[np.ndarray, np.ndarray]:
         """(index of the start, hash); starts that no filter lets through are left out.
 
-        ``octets`` must go on for as many bytes as the walk has steps.
+        ``octets`` must go on for as many bytes as the walk has steps. With the ``heads_of`` the
+        starts, those that begin alike walk their first steps as one.
         """
-        index, place = np.arange(len(starts)), starts.astype(np.int64)
-        key = np.zeros(len(starts), np.uint64)
+        first = starts if heads is None else heads[0]
+        index, place = np.arange(len(first)), first.astype(np.int64)
+        key = np.zeros(len(first), np.uint64)
         taken = 0
         for step in range(int(self.sampled[-1]) + 1):
-            letter = octets[place]
+            if heads is not None and step == HEAD:
+                index, place, key = _spread(index, place, key, starts, heads)
+                heads = None
+            letter = octets.take(place)
             if self.sampled[taken] == step:
                 key = (key + letter + np.uint64(1)) * _MIX
                 key ^= key >> np.uint64(29)
                 if filters is not None and taken:
-                    stays = _among(filters[taken], key)
-                    index, place = index[stays], place[stays]
-                    key, letter = key[stays], letter[stays]
+                    stays = np.flatnonzero(_among(filters[taken], key))
+                    if len(stays) < len(key):
+                        index, place = index[stays], place[stays]
+                        key, letter = key[stays], letter[stays]
                 taken += 1
-            place = place + self.moves[step][letter]
+            place += self.moves[step].take(letter)
+        if heads is not None:
+            index, place, key = _spread(index, place, key, starts, heads)
         return index, key
 
     def prefixes(self, octets: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -99,6 +112,30 @@ class Walk:
         return out
 
 
+def heads_of(octets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A start for each different run of ``HEAD`` bytes that starts begin with, and which is whose.
+
+    A walk stands at most as many bytes from its start as it has made steps, so those that
+    begin alike are together until then.
+    """
+    head = np.zeros(len(starts), np.uint64)
+    for i in range(HEAD):
+        head = head << np.uint64(8) | octets[starts + i]
+    _, first, whose = np.unique(head, return_index=True, return_inverse=True)
+    return starts[first], whose
+
+
+def _spread(index, place, key, starts, heads):
+    """What walks from ``heads`` have come to, for each of their starts."""
+    slot = np.full(len(heads[0]), -1)
+    slot[index] = np.arange(len(index))
+    slot = slot[heads[1]]
+    whole = np.flatnonzero(slot >= 0)
+    slot = slot[whole]
+    gone = place - heads[0][index]
+    return whole, starts[whole] + gone[slot], key[slot]
+
+
 def _bits_of(keys: np.ndarray) -> np.ndarray:
     """A set of keys as bits by their first digits, packed, as many as the keys call for."""
     digits = max(10, int(FILTER_SHARE * len(keys) - 1).bit_length())
@@ -148,6 +185,14 @@ def letter_classes(text: str) -> np.ndarray:
     return (np.frombuffer(text.encode("utf-32-le"), "<u4") & 127).astype(np.intp)
 
 
+def laid_letters(texts: list[str]) -> np.ndarray:
+    """The letter classes of texts, one in each column; beyond a text's end a class of none."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    laid = np.full((len(texts), sizes.max(initial=0)), 128, np.intp)
+    laid[np.arange(laid.shape[1]) < sizes[:, None]] = letter_classes("".join(texts))
+    return np.ascontiguousarray(laid.T)
+
+
 class Sieve:
     """Tells which of many (pattern, text) pairs may be within some edits, all at once.
 
@@ -164,20 +209,65 @@ class Sieve:
                 self.where[i, letter, place // 64] |= np.uint64(1 << place % 64)
 
     def passes(self, owners: np.ndarray, texts: list[str], most: np.ndarray) -> np.ndarray:
-        """Whether ``texts[i]`` may hold pattern ``owners[i]`` with ``most[i]`` edits."""
+        """Whether ``texts[i]`` may hold pattern ``owners[i]`` with ``most[i]`` edits.
+
+        First each word of 64 letters is looked for alone. The edits that the words need apart
+        are no more than the whole needs, so most pairs are out before all words are tried.
+        """
         out = np.zeros(len(texts), bool)
         # Alike in size together, so that a step is not for the longest of all.
         order = np.lexsort([[len(t) for t in texts], self.sizes[owners] // 64])
         for start in range(0, len(texts), 2048):
             part = order[start : start + 2048]
-            out[part] = self._least(owners[part], [texts[i] for i in part]) <= most[part]
+            letters = laid_letters([texts[i] for i in part])
+            left = np.arange(len(part))
+            needed = np.zeros(len(part), np.int64)
+            for word in range(self.words):
+                has = left[self.sizes[owners[part[left]]] > 64 * word]
+                if not len(has):
+                    break
+                needed[has] += self._least_of_word(word, owners[part[has]], letters[:, has])
+                left = left[needed[left] <= most[part[left]]]
+            if len(left):
+                chosen = part[left]
+                least = self._least(owners[chosen], [texts[i] for i in chosen])
+                out[chosen] = least <= most[chosen]
         return out
 
+    def _least_of_word(self, word: int, owners: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The fewest edits with which a pattern's word of 64 letters is in a column of letters."""
+        one = np.uint64(1)
+        sizes = np.minimum(self.sizes[owners] - 64 * word, 64)
+        where, base = self.where[:, :, word].ravel(), owners * self.where.shape[1]
+        last = (sizes - 1).astype(np.uint64)
+        up, down = np.full(len(owners), ~np.uint64(0)), np.zeros(len(owners), np.uint64)
+        score, least = sizes.copy(), sizes.copy()
+        plus, minus, across, along = (np.empty(len(owners), np.uint64) for _ in range(4))
+        for row in letters:
+            equal = where.take(base + row)
+            np.bitwise_or(equal, down, out=across)
+            np.bitwise_and(equal, up, out=along)
+            along += up
+            along ^= up
+            along |= equal
+            np.bitwise_or(along, up, out=plus)
+            np.invert(plus, out=plus)
+            plus |= down
+            np.bitwise_and(up, along, out=minus)
+            score += ((plus >> last) & one).view(np.int64)
+            score -= ((minus >> last) & one).view(np.int64)
+            np.minimum(least, score, out=least)
+            plus <<= one
+            minus <<= one
+            np.bitwise_or(across, plus, out=up)
+            np.invert(up, out=up)
+            up |= minus
+            np.bitwise_and(plus, across, out=down)
+        return least
+
     def _least(self, owners: np.ndarray, texts: list[str]) -> np.ndarray:
         one, high = np.uint64(1), np.uint64(63)
-        letters = np.full((max(map(len, texts), default=0), len(texts)), 128, np.intp)
-        for i, text in enumerate(texts):  # beyond a text's end nothing is equal
-            letters[: len(text), i] = letter_classes(text)
+        letters = laid_letters(texts)
         sizes = self.sizes[owners]
         words = int(-(-sizes.max(initial=1) // 64))
         top = np.zeros((words, len(texts)), np.uint64)
@@ -236,13 +326,13 @@ class Items:
             items.offsets.append(offsets[order])
         return items
 
-    def candidates(self, octets: np.ndarray, starts: np.ndarray):
+    def candidates(self, octets: np.ndarray, starts: np.ndarray, heads=None):
         """(place in ``octets`` where the item would begin, item) of all matching windows."""
         places, items = [], []
         for walk, bits, keys, owners, offsets in zip(
             self.walks, self.filters, self.keys, self.owners, self.offsets
         ):
-            index, key = walk.hashes(octets, starts, bits)
+            index, key = walk.hashes(octets, starts, bits, heads)
             low = np.searchsorted(keys, key, "left")
             wide = np.searchsorted(keys, key, "right") - low
             row = np.repeat(np.arange(len(key)), wide)
@@ -377,6 +467,7 @@ def _search(texts, group, items, most_edits):
     starts = window_starts(octets)
     if not len(starts):
         return []
+    heads = heads_of(octets, starts)
     lengths = np.array([len(r) for r in raw], np.int64)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for part in items:
@@ -384,7 +475,7 @@ def _search(texts, group, items, most_edits):
             tried = _everywhere(raw, part, most_edits)
             _confirm(texts, group, raw, part, tried, best)
             continue
-        places, owners = part.candidates(octets, starts)
+        places, owners = part.candidates(octets, starts, heads)
         # A window may lie before its text's begin by the letters that were edited away.
         sizes = np.array(part.sizes, np.int64)
         slack = (sizes * most_edits).astype(np.int64)[owners]

@@ -125,3 +125,40 @@ def test_empty_tables(documents, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert d.contaminated(documents([(1, "a")]), bench).collect() == []
     assert d.contaminated(documents([]), bench).collect() == []
+
+
+def test_words_that_begin_alike_walk_their_first_steps_as_one():
+    rng = np.random.default_rng(3)
+    words = ["alpha", "beta", "the", "é🙂", "alphabet", "of"]
+    text = " ".join(rng.choice(words, 3000)).encode() + bytes(60)
+    octets = np.frombuffer(text, np.uint8)
+    starts = d.window_starts(octets)
+    heads = d.heads_of(octets, starts)
+    assert len(heads[0]) < len(starts) / 4
+    items = np.frombuffer(" ".join(words).encode() + bytes(60), np.uint8)
+    for steps in d.STEPS:
+        walk = d.Walk.draw(rng, steps)
+        filters = walk.prefixes(items, d.window_starts(items))
+        for bits in (None, filters):
+            plain, as_one = walk.hashes(octets, starts, bits), walk.hashes(octets, starts, bits, heads)
+            assert all(np.array_equal(x, y) for x, y in zip(plain, as_one))
+
+
+def test_most_pairs_are_out_before_whole_patterns_are_compared(monkeypatch):
+    rng = np.random.default_rng(4)
+    letters = np.array([*"abcdefgh é🙂"])
+    patterns = ["".join(rng.choice(letters, n)) for n in (1, 63, 64, 65, 128, 200, 330)]
+    owners = np.repeat(np.arange(len(patterns)), 40)
+    texts = ["".join(rng.choice(letters, rng.integers(0, 500))) for _ in owners]
+    for i in range(0, len(texts), 4):  # some hold a copy
+        own = patterns[owners[i]]
+        texts[i] += d.edited(own, rng.integers(0, len(own) // 4 + 1), letters, rng) + texts[i][:30]
+    most = np.array([len(patterns[o]) // 5 for o in owners])
+    sieve = d.Sieve(patterns)
+    right = sieve._least(owners, texts) <= most
+    whole, least = [], sieve._least
+    monkeypatch.setattr(sieve, "_least", lambda o, t: whole.append(len(o)) or least(o, t))
+    assert np.array_equal(sieve.passes(owners, texts, most), right)
+    assert right.sum() <= sum(whole) < 1.2 * right.sum() < len(owners) / 2
+    assert not len(sieve.passes(owners[:0], [], most[:0]))
+    assert sieve.passes(owners[:1], [""], np.array([1])).tolist() == [True]
