@@ -3,9 +3,12 @@
 import collections
 import math
 import re
+import tracemalloc
+import types
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tableloom.llm import quality_neighbours, quality_rules, queries, suffix_tree, toxicity, url_rules
 
@@ -442,6 +445,50 @@ def test_blocks_do_not_change_scores(spark, tables, monkeypatch):
         assert a["score"] == pytest.approx(b["score"], rel=1e-9)
 
 
+def test_a_block_takes_little_more_than_its_answers(documents, monkeypatch):
+    """What is made for each token of a block is not in memory, nor sent, for all of them at once."""
+    docs = documents([(n, "a b c a b") for n in range(20)])
+    run, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(
+        type(docs), "mapInArrow", lambda df, f, *more: run.append(f) or real(df, f, *more)
+    )
+    blocks = suffix_tree.tokenised(docs, "doc_id", "text", 10)
+    every = suffix_tree.Filter(10, np.full(16, (1 << 64) - 1, np.uint64))
+    suffix_tree.count_longer(blocks, 2, every, every, 1)
+    count = run[-1]
+    sent = types.SimpleNamespace(value=(every, None))
+    suffix_tree.answers(blocks, blocks.selectExpr("block AS key", "0D AS value"), sent, 3)
+    ask = run[-1]
+
+    rng = np.random.default_rng(3)
+    hashes = rng.integers(-(2**63), 2**63 - 1, 300)
+    tokens = np.minimum(rng.zipf(1.5, 1 << 20), 300).astype(np.int32) - 1
+    columns = {"hashes": hashes, "held": [False, True] * 1024, "sizes": [512] * 2048, "tokens": tokens}
+    columns = {c: pa.array([v]) for c, v in columns.items()}
+    expected = collections.Counter()
+    for n, text in enumerate(tokens.reshape(2048, 512).tolist()):
+        if n % 2 == 0:
+            expected.update(zip(text, text[1:], text[2:]))
+    triples = [[hashes[list(w)] for w in zip(*expected)][i] for i in range(3)]
+    for func, batch in (
+        (count, pa.RecordBatch.from_pydict(columns)),
+        (ask, pa.RecordBatch.from_pydict({"block": [7]} | columns).drop_columns(["held"])),
+    ):
+        tracemalloc.start()
+        sizes = [b.num_rows for b in func(iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert max(sizes) <= 1 << 16
+        assert peak < 32 * len(tokens)
+
+    found = pa.Table.from_batches(count(iter([pa.RecordBatch.from_pydict(columns)])))
+    first, middle, last = triples
+    keys = suffix_tree.joined(first, middle), suffix_tree.joined(middle, last)
+    assert dict(zip(zip(*(k.tolist() for k in keys)), expected.values())) == {
+        (r["context"], r["suffix"]): r["n"] for r in found.to_pylist()
+    }
+
+
 def test_suffix_tree_takes_odd_rows(documents):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(3, "word"), (3, "word"), (None, "word")]
     found = suffix_tree.score_texts(documents(rows, extra="tokens block held")).collect()
